@@ -5,8 +5,10 @@ Three plans give the same rows; sizes decide between them:
 * few queries: the query matrix is broadcast and every corpus partition keeps
   a running top-k, so the corpus is read once and never shuffled;
 * small corpus: the corpus matrix is broadcast and queries stream past it;
-* neither fits: both sides are hashed into groups of bounded size and each
-  pair of groups is one task's work, again reduced to its top-k at once.
+* neither fits: both sides are hashed into groups, and each pair of groups is
+  one task that holds its queries (a bounded number), streams its corpus rows
+  and keeps a running top-k. Every row is copied once per group of the other
+  side; no pair of rows is ever emitted unless it may be an answer.
 
 A side is broadcast only after its rows were counted.
 """
@@ -25,6 +27,9 @@ from tidewell.partitioning import BROADCAST_BYTES, estimated_bytes
 
 DEFAULT_K = 3
 
+# Corpus vectors one task streams past its queries when no side is broadcast.
+STREAM_BYTES = 1024**3
+
 _NO_ID = np.iinfo(np.int64).max
 _CORPUS_BLOCK = 4096
 _QUERY_BLOCK = 256
@@ -86,6 +91,10 @@ class RunningTopK:
             kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1 : self.k]
             near &= rough <= kth + 2.0 * error
         q_at, c_at = np.nonzero(near)
+        if len(q_at) > _EXACT_PAIRS:
+            useful = self._without_spare_copies(np.unique(c_at), ids, block)
+            kept = useful[c_at]
+            q_at, c_at = q_at[kept], c_at[kept]
         if not len(q_at):
             return
         exact = np.empty(len(q_at))
@@ -95,6 +104,23 @@ class RunningTopK:
             exact[pair] = np.einsum("ij,ij->i", gap, gap)
         self._merge(rows, q_at, np.round(exact, DISTANCE_PLACES), ids[c_at])
 
+    def _without_spare_copies(
+        self, rows: np.ndarray, ids: np.ndarray, block: np.ndarray
+    ) -> np.ndarray:
+        """Marks ``rows``, but of equal vectors only the k with the lowest ids.
+
+        No further copy can rank among the first k of any query.
+        """
+        raw = np.ascontiguousarray(block[rows])
+        raw = raw.view(np.dtype((np.void, raw.shape[1] * raw.itemsize))).ravel()
+        group = np.unique(raw, return_inverse=True)[1].ravel()
+        order = np.lexsort((ids[rows], group))
+        ordered = group[order]
+        copy_no = np.arange(len(rows)) - np.searchsorted(ordered, ordered)
+        useful = np.zeros(len(ids), dtype=bool)
+        useful[rows[order[copy_no < self.k]]] = True
+        return useful
+
     def _merge(
         self, rows: slice, q_at: np.ndarray, distance: np.ndarray, ids: np.ndarray
     ) -> None:
@@ -199,7 +225,7 @@ def _with_small_corpus(
     return queries.df.mapInArrow(search, ranked)
 
 
-def _by_groups(
+def _by_cells(
     queries: _Side,
     corpus: _Side,
     k: int,
@@ -207,27 +233,63 @@ def _by_groups(
     query_groups: int,
     corpus_groups: int,
 ) -> DataFrame:
+    """One partition per pair of groups: its queries are held, its corpus streams by."""
+    query_type = queries.df.schema["_id"].dataType
     names = [field.name for field in schema]
 
-    def search(query_part: pa.Table, corpus_part: pa.Table) -> pa.Table:
-        matrix = vector_matrix(query_part["_v"])
-        best = RunningTopK(matrix, k)
-        if query_part.num_rows and corpus_part.num_rows:
-            ids = corpus_part["_id"].combine_chunks().to_numpy(zero_copy_only=False)
-            best.offer(ids, vector_matrix(corpus_part["_v"], matrix.shape[1]))
-        q_at, _, ids, distance = best.hits()
-        taken = query_part["_id"].combine_chunks().take(pa.array(q_at))
-        return pa.Table.from_arrays([taken, pa.array(ids), pa.array(distance)], names)
+    def dealt(side: DataFrame, own: int, own_step: int, other: int, other_step: int) -> DataFrame:
+        group = F.pmod(F.xxhash64("_id"), F.lit(own)) * own_step
+        copies = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        return side.withColumn("_copy", copies).withColumn(
+            "_cell", (group + F.col("_copy") * other_step).cast("int")
+        )
+
+    held = dealt(queries.df, query_groups, corpus_groups, corpus_groups, 1).select(
+        "_cell",
+        F.lit(False).alias("_streamed"),
+        F.col("_id").alias("_query"),
+        F.lit(None).cast("bigint").alias("_row"),
+        "_v",
+    )
+    streamed = dealt(corpus.df, corpus_groups, 1, query_groups, corpus_groups).select(
+        "_cell",
+        F.lit(True).alias("_streamed"),
+        F.lit(None).cast(query_type).alias("_query"),
+        F.col("_id").alias("_row"),
+        "_v",
+    )
 
-    def grouped(side: DataFrame, own: str, own_n: int, other: str, other_n: int):
-        hashed = F.pmod(F.xxhash64("_id"), F.lit(own_n)).alias(own)
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other)
-        return side.select("_id", "_v", hashed, copies).groupBy("_qg", "_cg")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        query_ids, best = None, None
+        for batch in batches:
+            flags = batch.column("_streamed").to_numpy(zero_copy_only=False)
+            first = int(np.searchsorted(flags, True))
+            if first:
+                waiting.append(batch.slice(0, first))
+            if first == batch.num_rows:
+                continue
+            if best is None:
+                if not waiting:
+                    return
+                held_rows = pa.Table.from_batches(waiting)
+                query_ids = held_rows["_query"].combine_chunks()
+                best = RunningTopK(vector_matrix(held_rows["_v"]), k)
+            rest = batch.slice(first)
+            ids = rest.column("_row").to_numpy(zero_copy_only=False)
+            best.offer(ids, vector_matrix(rest.column("_v"), best.queries.shape[1]))
+        if best is None:
+            return
+        q_at, _, ids, distance = best.hits()
+        columns = [query_ids.take(pa.array(q_at)), pa.array(ids), pa.array(distance)]
+        yield pa.RecordBatch.from_arrays(columns, names)
 
     return (
-        grouped(queries.df, "_qg", query_groups, "_cg", corpus_groups)
-        .cogroup(grouped(corpus.df, "_cg", corpus_groups, "_qg", query_groups))
-        .applyInArrow(search, schema)
+        held.unionByName(streamed)
+        .repartitionById(query_groups * corpus_groups, "_cell")
+        .sortWithinPartitions("_streamed")
+        .drop("_cell")
+        .mapInArrow(search, schema)
     )
 
 
@@ -240,6 +302,7 @@ def find_nearest(
     corpus_id: str = "chunk_id",
     corpus_vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
+    stream_bytes: int = STREAM_BYTES,
 ) -> Hits:
     """The ``k`` nearest corpus rows of every query: ``min(k, n)`` rows each.
 
@@ -274,12 +337,12 @@ def find_nearest(
         known = sizes.get("queries")
         return Hits(_finish(found), known[0] * k if known else None)
 
-    groups = {
-        name: max(1, -(-rows * dim * 8 // broadcast_bytes))
-        for name, (rows, dim) in sizes.items()
-    }
-    found = _by_groups(q, c, k, schema, groups["queries"], groups["corpus"])
-    return Hits(_finish(_ranked(found, k, query_id, corpus_id)), sizes["queries"][0] * k)
+    (q_rows, q_dim), (c_rows, c_dim) = sizes["queries"], sizes["corpus"]
+    query_groups = -(-q_rows * q_dim * 8 // broadcast_bytes)
+    slots = corpus.sparkSession.sparkContext.defaultParallelism
+    corpus_groups = max(-(-c_rows * c_dim * 4 // stream_bytes), -(-slots // query_groups))
+    found = _by_cells(q, c, k, schema, query_groups, corpus_groups)
+    return Hits(_finish(_ranked(found, k, query_id, corpus_id)), q_rows * k)
 
 
 def _finish(rows: DataFrame) -> DataFrame:

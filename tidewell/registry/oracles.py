@@ -104,11 +104,19 @@ def _ranked(name: str, queries: str, q_ids: str, corpus: str, c_ids: str, k: int
 )"""
 
 
-_RETRIEVED = f"""WITH RECURSIVE {_SILVER},
+
+
+def _retrieved(question: str) -> str:
+    """CTEs up to ranked hits and assembled contexts, for encoded question texts."""
+    query_rows = f"SELECT item_id AS id, {question} AS t FROM benchmark"
+    ranked = _ranked(
+        "ranked", "query_vectors", "SELECT item_id AS id FROM benchmark",
+        "chunk_vectors", "SELECT chunk_id AS id FROM silver", 3,
+    )
+    return f"""WITH RECURSIVE {_SILVER},
 {_encoded("chunk_vectors", "SELECT chunk_id AS id, chunk_text AS t FROM silver")},
-{_encoded("query_vectors", f"SELECT item_id AS id, {_clean('text')} AS t FROM benchmark")},
-{_ranked("ranked", "query_vectors", "SELECT item_id AS id FROM benchmark",
-         "chunk_vectors", "SELECT chunk_id AS id FROM silver", 3)},
+{_encoded("query_vectors", query_rows)},
+{ranked},
 hits AS MATERIALIZED (
   SELECT q_id AS query_id, rank, chunk_id, source_file, chunk_text, squared_l2,
          round(sqrt(squared_l2), 9) AS l2
@@ -122,10 +130,13 @@ contexts AS (
     chr(10) || chr(10) || '**Sources:**'
       || coalesce(string_agg(chr(10) || '- *' || source_file || '*', '' ORDER BY rank), '')
       AS sources,
-    coalesce(max(chunk_text) FILTER (rank = 1), 'I don''t know') AS answer
+    coalesce(max(chunk_text) FILTER (rank = 1), 'I don\'\'t know') AS answer
   FROM questions LEFT JOIN hits USING (query_id) GROUP BY query_id, question
 )"""
 
+
+_RETRIEVED = _retrieved(_clean("text"))
+
 _PROMPT = (
     "'Answer the question based on the context below. If the answer is not in the context, "
     "say \"I don''t know\".' || chr(10) || chr(10) || 'Context:' || chr(10) || context "
@@ -241,6 +252,7 @@ ORACLES: dict[str, str] = {
           FROM dist
         ) WHERE rank = 1""",
     "retrieve_context": f"{_RETRIEVED} SELECT * FROM hits",
+    "retrieve_uncleaned": f"{_retrieved('text')} SELECT * FROM hits",
     "retrieve_saved_index": f"""WITH {_EXAMPLES},
         positions AS (
           SELECT vec_id, CAST(label AS BIGINT) AS hit_label,

@@ -241,7 +241,7 @@ def docs_inline(spark: SparkSession, folder: str) -> DataFrame:
     documents = parquet_table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("source_file"), F.col("text").alias("raw_content")
     )
-    return documents.unionByName(given).withColumn(
+    return spread(documents).unionByName(given).withColumn(
         "cleaned_content", clean_text(F.col("raw_content"))
     ).select("source_file", "cleaned_content")
 
@@ -257,15 +257,15 @@ def bronze_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return parquet_table(spark, folder, "documents").select(
+    documents = parquet_table(spark, folder, "documents").select("doc_id", "text")
+    return spread(documents).select(
         "doc_id", clean_text(F.col("text")).alias("cleaned_content")
     )
 
 
 def clean_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return parquet_table(spark, folder, "pages").select(
-        "page_id", clean_text(F.col("html")).alias("cleaned_content")
-    )
+    pages = parquet_table(spark, folder, "pages").select("page_id", "html")
+    return spread(pages).select("page_id", clean_text(F.col("html")).alias("cleaned_content"))
 
 
 def _document_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,24 +330,25 @@ def vector_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _label_examples(vectors: DataFrame) -> DataFrame:
-    """The lowest-numbered vector of every label."""
+    """The lowest-numbered vector of every label, written once for repeated use."""
     first = F.min_by(as_floats(F.col("embedding")), "vec_id").alias("embedding")
-    return vectors.groupBy("label").agg(first).withColumn("label", F.col("label").cast("bigint"))
+    examples = vectors.groupBy("label").agg(first).withColumn(
+        "label", F.col("label").cast("bigint")
+    )
+    return Workspace(vectors.sparkSession, "examples").stage(examples, "labels")
 
 
 def knn_l2_top3(spark: SparkSession, folder: str) -> DataFrame:
     """For each label's example, the three nearest of all vectors."""
     vectors = parquet_table(spark, folder, "embeddings")
-    return nearest(
-        _label_examples(vectors), spread(vectors), 3, query_id="label", corpus_id="vec_id"
-    )
+    return nearest(_label_examples(vectors), vectors, 3, query_id="label", corpus_id="vec_id")
 
 
 def knn_k_exceeds_n(spark: SparkSession, folder: str) -> DataFrame:
     """For each vector the label examples by distance: more asked for than there are."""
     vectors = parquet_table(spark, folder, "embeddings")
     return nearest(
-        spread(vectors), _label_examples(vectors), 25, query_id="vec_id", corpus_id="label"
+        vectors, _label_examples(vectors), 25, query_id="vec_id", corpus_id="label"
     ).drop("l2")
 
 
@@ -355,7 +356,7 @@ def nearest_one(spark: SparkSession, folder: str) -> DataFrame:
     """For each vector the label of the nearest example."""
     vectors = parquet_table(spark, folder, "embeddings")
     return nearest(
-        spread(vectors), _label_examples(vectors), 1, query_id="vec_id", corpus_id="label"
+        vectors, _label_examples(vectors), 1, query_id="vec_id", corpus_id="label"
     ).select("vec_id", "label", "squared_l2")
 
 
@@ -373,6 +374,12 @@ def retrieve_context(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve(_questions(spark, folder), document_layers(spark, folder).vectors)
 
 
+def retrieve_uncleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the questions encoded as they are written."""
+    vectors = document_layers(spark, folder).vectors
+    return retrieve(_questions(spark, folder), vectors, clean_queries=False)
+
+
 def retrieve_saved_index(spark: SparkSession, folder: str) -> DataFrame:
     """Search in the saved form of an index, positions mapped back to ids."""
     vectors = parquet_table(spark, folder, "embeddings")
@@ -475,6 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_k_exceeds_n": knn_k_exceeds_n,
     "nearest_one": nearest_one,
     "retrieve_context": retrieve_context,
+    "retrieve_uncleaned": retrieve_uncleaned,
     "retrieve_saved_index": retrieve_saved_index,
     "lookup_chunks_by_id": lookup_chunks_by_id,
     "assemble_context": assemble_context,
