@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 
 from tidewell.operators.chatlog import append_exchanges
@@ -18,12 +20,10 @@ QUESTIONS = [(1, "What does the mill grind?"), (2, "Lake freezes in January")]
 
 @pytest.fixture(scope="module")
 def layers(spark):
-    import uuid
-
     workspace = Workspace(spark, "answers")
     return build_layers(
         spark, inline_rows(spark, DOCUMENTS), f"s{uuid.uuid4().hex}", workspace,
-        location=workspace.path("tables"),
+        dense=True, location=workspace.path("tables"),
     )
 
 
@@ -41,12 +41,10 @@ def test_layers(layers):
 
 
 def test_unique_ids_serve_as_well(spark):
-    import uuid
-
     workspace = Workspace(spark, "unique")
     built = build_layers(
         spark, inline_rows(spark, DOCUMENTS), f"s{uuid.uuid4().hex}", workspace,
-        dense=False, location=workspace.path("tables"),
+        location=workspace.path("tables"),
     )
     assert built.vectors.select("chunk_id").distinct().count() == 3
 
@@ -79,7 +77,7 @@ def test_nothing_retrieved(layers, questions):
 def test_any_generator_fits(layers, questions):
     class Shouting:
         def generate(self, prompts, max_length):
-            return [p.split("\n")[-4].upper()[:max_length] for p in prompts]
+            return [p.split("\n")[-3].upper()[:max_length] for p in prompts]
 
     hits = retrieve(questions, layers.vectors, 1)
     found = agent.answer_questions(questions, hits, Shouting).collect()

@@ -12,15 +12,6 @@ def test_dense_ids_follow_the_order(spark, workspace):
 
 
 def test_a_hot_key_is_split_and_keeps_dense_ids(spark, workspace):
-    # so few rows would else be merged into one partition again
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        check_hot_key(spark, workspace)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
-def check_hot_key(spark, workspace):
     rows = spark.range(4000, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewell.partitioning import partitions_for
 from tidewell.workspace import Workspace
 
 # monotonically_increasing_id() holds the partition above this many bits and
@@ -37,7 +38,7 @@ def dense_ids(
         df = workspace.stage(df.withColumn("_fetched", unique_id()), f"fetched-{id_col}")
         order_by = [*order_by, "_fetched"]
     if order_by:
-        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        df = df.repartitionByRange(partitions_for(df), *order_by).sortWithinPartitions(*order_by)
     placed = workspace.stage(
         df.drop("_fetched").withColumn("_place", unique_id()), f"placed-{id_col}"
     )

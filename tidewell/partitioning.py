@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 # Largest table, in bytes, that may be sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Stored bytes of a table that make up one partition of an explicit shuffle.
+SHUFFLE_BYTES = 64 * 1024 * 1024
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan; runs no job."""
@@ -31,3 +34,9 @@ def spread(df: DataFrame) -> DataFrame:
     if estimated_bytes(df) >= slots * _split_bytes(df):
         return df
     return df.repartition(slots)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """How many partitions to shuffle ``df`` into, by its size and never below the cores."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return max(slots, -(-estimated_bytes(df) // SHUFFLE_BYTES))

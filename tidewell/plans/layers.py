@@ -33,14 +33,15 @@ def raw_documents(documents: DataFrame, source_file: str, text: str) -> DataFram
 def chunk_layer(
     raw: DataFrame,
     workspace: Workspace,
-    dense: bool = True,
+    dense: bool = False,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
     """``(source_file, chunk_text, chunk_id)``.
 
-    Dense ids follow document and chunk order; the alternative ids are only
-    unique, and spare the range shuffle.
+    Ids are unique, and given in the one pass that cuts the text. ``dense``
+    makes them contiguous in document and chunk order, for a range shuffle and
+    two staged writes.
     """
     pieces = chunk_documents(
         spread(raw.select("source_file", "raw_content")),
@@ -77,7 +78,7 @@ def build_layers(
     workspace: Workspace,
     source_file: str = "source_file",
     text: str = "raw_content",
-    dense: bool = True,
+    dense: bool = False,
     encoder: Callable[[], Encoder] = HashedWords,
     location: str | None = None,
 ) -> Layers:

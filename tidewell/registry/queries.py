@@ -72,6 +72,7 @@ def fresh_layers(spark: SparkSession, folder: str) -> Layers:
         workspace=workspace,
         source_file="doc_id",
         text="text",
+        dense=True,
         location=workspace.path("tables"),
     )
 

@@ -9,8 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Rows handed to Python are whole documents; keep Arrow batches small.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # Rows handed to Python may be whole documents: bound batches by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
