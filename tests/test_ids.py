@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from tidewell.operators.ids import dense_ids, unique_id
+from tidewell.sinks.tables import PathTarget
+from tidewell.workspace import Workspace
 
 
 def test_dense_ids_follow_the_order(spark, workspace):
@@ -41,3 +43,13 @@ def test_no_rows(spark, workspace):
 def test_unique_ids(spark):
     ids = [r[0] for r in spark.range(100, numPartitions=6).select(unique_id()).collect()]
     assert len(set(ids)) == 100
+
+
+def test_a_workspace_removes_only_its_own_folder(spark, workspace):
+    kept = workspace.stage(spark.range(3), "kept")
+    with Workspace(spark, "left") as left:
+        written = left.stage(spark.range(2), "gone")
+        assert written.count() == 2
+    assert kept.count() == 3
+    assert not PathTarget(spark, left.root).exists()
+    left.clear()

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import l2, squared_l2
 from tidewell.operators.knn import RunningTopK, find_nearest, nearest
+from tidewell.operators.lookup import fetch_hits
 from tidewell.plans.index import load_index, save_index, search_index
 
 PLANS = {
     "few queries": {},
-    "cells": {"broadcast_bytes": 64, "stream_bytes": 256},
+    "passes": {"broadcast_bytes": 8},
+    "cells": {"broadcast_bytes": 8, "max_passes": 1, "stream_bytes": 256},
 }
 
 
@@ -58,19 +60,35 @@ def test_plans_agree_with_brute_force(spark):
     want = sorted(brute_force(queries, corpus, np.arange(400), 4))
     c, q = frame(spark, corpus, "chunk_id", 5), frame(spark, queries, "query_id", 3)
     assert found_rows(nearest(q, c, 4)) == want
-    # only the corpus, then neither side, is small enough to broadcast
-    by_corpus = find_nearest(q, c.limit(40), 4, broadcast_bytes=40 * 6 * 8)
-    assert by_corpus.rows.count() == 45 * 4
-    assert found_rows(nearest(q, c, 4, broadcast_bytes=900, stream_bytes=2000)) == want
+    assert found_rows(nearest(q, c, 4, broadcast_bytes=900)) == want
+    cells = nearest(q, c, 4, broadcast_bytes=900, max_passes=2, stream_bytes=2000)
+    assert plan_of(cells).count("MapInArrow") == 1 and "_cell" in plan_of(cells)
+    assert found_rows(cells) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_are_broadcast_only_within_the_bound(spark):
+    c, q = frame(spark, HAND, "chunk_id"), frame(spark, HAND[:2], "query_id", 1)
+    hits = find_nearest(q, c, 3)
+    assert hits.max_bytes == 3 * (2 * 64 + 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in plan_of(fetch_hits(hits, c, "chunk_id"))
+        assert "BroadcastHashJoin" not in plan_of(fetch_hits(hits, c, "chunk_id", broadcast_bytes=100))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_small_corpus_is_broadcast_and_ranks_without_a_shuffle(spark):
     rng = np.random.default_rng(4)
     corpus, queries = rng.random((8, 3), dtype=np.float32), rng.random((300, 3), dtype=np.float32)
     c, q = frame(spark, corpus, "chunk_id", 1), frame(spark, queries, "query_id", 4)
-    found = find_nearest(q, c, 2, broadcast_bytes=8 * 3 * 8)
+    found = find_nearest(q, c, 2, broadcast_bytes=8 * 3 * 8 + 8)
     assert found_rows(found.rows) == sorted(brute_force(queries, corpus, np.arange(8), 2))
-    assert "Window" not in found.rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan_of(found.rows)
 
 
 def test_string_query_ids(spark):

@@ -1,11 +1,13 @@
 """Exact nearest neighbours by Euclidean distance, many queries at once.
 
-Three plans give the same rows; sizes decide between them:
+Four plans give the same rows; sizes decide between them:
 
 * few queries: the query matrix is broadcast and every corpus partition keeps
   a running top-k, so the corpus is read once and never shuffled;
 * small corpus: the corpus matrix is broadcast and queries stream past it;
-* neither fits: both sides are hashed into groups, and each pair of groups is
+* a few times too many queries: the first plan for each of a few hashed groups
+  of queries, that is some more reads of the corpus but still no shuffle of it;
+* both large: both sides are hashed into groups, and each pair of groups is
   one task that holds its queries (a bounded number), streams its corpus rows
   and keeps a running top-k. Every row is copied once per group of the other
   side; no pair of rows is ever emitted unless it may be an answer.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,9 @@ DEFAULT_K = 3
 # Corpus vectors one task streams past its queries when no side is broadcast.
 STREAM_BYTES = 1024**3
 
+# Most reads of the corpus that are preferred to shuffling it.
+MAX_PASSES = 16
+
 _NO_ID = np.iinfo(np.int64).max
 _CORPUS_BLOCK = 4096
 _QUERY_BLOCK = 256
@@ -144,10 +150,26 @@ class RunningTopK:
 
 @dataclass(frozen=True)
 class Hits:
-    """Ranked neighbours and, where it is known, how many rows there can be."""
+    """Ranked neighbours and, where it is known, how many bytes they can have."""
 
     rows: DataFrame
-    max_rows: int | None
+    max_bytes: int | None
+
+
+@dataclass(frozen=True)
+class _Size:
+    rows: int
+    dim: int
+    id_bytes: int
+
+    @property
+    def matrix_bytes(self) -> int:
+        """Ids and vectors in the double precision a task computes in."""
+        return self.rows * self.dim * 8 + self.id_bytes
+
+    def hit_bytes(self, k: int) -> int:
+        """At most k hits per query: id, rank, neighbour and two distances."""
+        return k * (self.id_bytes + self.rows * 64)
 
 
 @dataclass(frozen=True)
@@ -160,11 +182,15 @@ class _Side:
     def of(cls, df: DataFrame, id_col: str, vector_col: str) -> "_Side":
         return cls(df.select(F.col(id_col).alias("_id"), as_floats(F.col(vector_col)).alias("_v")))
 
-    def measure(self) -> tuple[int, int]:
-        """Row count (no vector is computed for it) and dimension."""
-        rows = self.df.count()
+    def measure(self) -> _Size:
+        """Rows and bytes of ids, for which no vector is computed, and the dimension."""
+        id_bytes = F.sum(F.octet_length(F.col("_id").cast("string")))
+        rows, ids = self.df.agg(F.count(F.lit(1)), id_bytes).first()
         first = self.df.select(F.size("_v")).first() if rows else None
-        return rows, (first[0] if first else 0)
+        return _Size(rows, first[0] if first else 0, ids or 0)
+
+    def group(self, number: int, groups: int) -> "_Side":
+        return _Side(self.df.where(F.pmod(F.xxhash64("_id"), F.lit(groups)) == number))
 
     def local(self) -> tuple[pa.Array, np.ndarray]:
         """Ids and matrix on the driver; for a side already measured as small."""
@@ -302,6 +328,7 @@ def find_nearest(
     corpus_id: str = "chunk_id",
     corpus_vector: str = "embedding",
     broadcast_bytes: int = BROADCAST_BYTES,
+    max_passes: int = MAX_PASSES,
     stream_bytes: int = STREAM_BYTES,
 ) -> Hits:
     """The ``k`` nearest corpus rows of every query: ``min(k, n)`` rows each.
@@ -322,27 +349,32 @@ def find_nearest(
             T.StructField("squared_l2", T.DoubleType()),
         ]
     )
-    sizes: dict[str, tuple[int, int]] = {}
+    sizes: dict[str, _Size] = {}
     smaller_first = sorted(
         (("queries", q), ("corpus", c)), key=lambda side: estimated_bytes(side[1].df)
     )
     for name, side in smaller_first:
-        rows, dim = sizes[name] = side.measure()
-        if rows * max(dim, 1) * 8 > broadcast_bytes:
+        size = sizes[name] = side.measure()
+        if size.matrix_bytes > broadcast_bytes:
             continue
         if name == "queries":
             found = _with_few_queries(q, c, k, schema)
-            return Hits(_finish(_ranked(found, k, query_id, corpus_id)), rows * k)
-        found = _with_small_corpus(q, c, k, schema)
+            return Hits(_finish(_ranked(found, k, query_id, corpus_id)), size.hit_bytes(k))
         known = sizes.get("queries")
-        return Hits(_finish(found), known[0] * k if known else None)
-
-    (q_rows, q_dim), (c_rows, c_dim) = sizes["queries"], sizes["corpus"]
-    query_groups = -(-q_rows * q_dim * 8 // broadcast_bytes)
-    slots = corpus.sparkSession.sparkContext.defaultParallelism
-    corpus_groups = max(-(-c_rows * c_dim * 4 // stream_bytes), -(-slots // query_groups))
-    found = _by_cells(q, c, k, schema, query_groups, corpus_groups)
-    return Hits(_finish(_ranked(found, k, query_id, corpus_id)), q_rows * k)
+        found = _with_small_corpus(q, c, k, schema)
+        return Hits(_finish(found), known.hit_bytes(k) if known else None)
+
+    groups = -(-sizes["queries"].matrix_bytes // broadcast_bytes)
+    if groups <= max_passes:
+        passes = [_with_few_queries(q.group(n, groups), c, k, schema) for n in range(groups)]
+        found = reduce(DataFrame.unionByName, passes)
+    else:
+        corpus_bytes = sizes["corpus"].matrix_bytes // 2
+        slots = corpus.sparkSession.sparkContext.defaultParallelism
+        corpus_groups = max(-(-corpus_bytes // stream_bytes), -(-slots // groups))
+        found = _by_cells(q, c, k, schema, groups, corpus_groups)
+    ranked = _ranked(found, k, query_id, corpus_id)
+    return Hits(_finish(ranked), sizes["queries"].hit_bytes(k))
 
 
 def _finish(rows: DataFrame) -> DataFrame:

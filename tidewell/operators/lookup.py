@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidewell.operators.knn import Hits
 from tidewell.partitioning import BROADCAST_BYTES
 
-# Ids, rank and distances of one hit, with the overhead of a hashed row.
-_HIT_BYTES = 128
-
 
 def fetch_hits(
-    hits: DataFrame,
+    hits: Hits,
     table: DataFrame,
     key: str,
-    max_rows: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ranked hits with the table that holds their text, keeping the rank.
@@ -22,9 +19,8 @@ def fetch_hits(
     Hits known to be few are broadcast, so the text is read once and not
     shuffled; otherwise Spark chooses the join.
     """
-    if max_rows is not None and max_rows * _HIT_BYTES <= broadcast_bytes:
-        hits = F.broadcast(hits)
-    return table.join(hits, key)
+    few = hits.max_bytes is not None and hits.max_bytes <= broadcast_bytes
+    return table.join(F.broadcast(hits.rows) if few else hits.rows, key)
 
 
 def rows_with_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -30,5 +30,5 @@ def nearest_entry(
         encode_questions(questions, encoder, clean_queries), encoded, 1, corpus_id="id"
     )
     return fetch_hits(
-        hits.rows, entries.withColumn("id", F.col("id").cast("bigint")), "id", hits.max_rows
+        hits, entries.withColumn("id", F.col("id").cast("bigint")), "id"
     ).select("query_id", "id", "topic", "content", "squared_l2")

@@ -58,5 +58,5 @@ def search_index(
     """Nearest positions, with the id that each position stands for."""
     found = find_nearest(queries, index.vectors, k, corpus_id="vec_pos", **columns)
     return Hits(
-        fetch_hits(found.rows, index.mapping, "vec_pos", found.max_rows), found.max_rows
+        fetch_hits(found, index.mapping, "vec_pos"), found.max_bytes
     )

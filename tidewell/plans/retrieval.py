@@ -41,6 +41,6 @@ def retrieve(
     """
     hits = find_nearest(encode_questions(questions, encoder, clean_queries), vectors, k)
     texts = vectors.select("chunk_id", "source_file", "chunk_text")
-    return fetch_hits(hits.rows, texts, "chunk_id", hits.max_rows).select(
+    return fetch_hits(hits, texts, "chunk_id").select(
         "query_id", "rank", "chunk_id", "source_file", "chunk_text", "squared_l2", "l2"
     )

@@ -64,17 +64,17 @@ def document_layers(spark: SparkSession, folder: str) -> Layers:
 
 
 def fresh_layers(spark: SparkSession, folder: str) -> Layers:
-    workspace = Workspace(spark, "layers")
-    return build_layers(
-        spark,
-        parquet_table(spark, folder, "documents"),
-        schema=f"tidewell_{uuid.uuid4().hex}",
-        workspace=workspace,
-        source_file="doc_id",
-        text="text",
-        dense=True,
-        location=workspace.path("tables"),
-    )
+    with Workspace(spark, "staged") as workspace:
+        return build_layers(
+            spark,
+            parquet_table(spark, folder, "documents"),
+            schema=f"tidewell_{uuid.uuid4().hex}",
+            workspace=workspace,
+            source_file="doc_id",
+            text="text",
+            dense=True,
+            location=Workspace(spark, "layers").path("tables"),
+        )
 
 
 def _catalog_target(spark: SparkSession, table: str) -> CatalogTarget:
@@ -389,7 +389,7 @@ def retrieve_saved_index(spark: SparkSession, folder: str) -> DataFrame:
     index = load_index(spark, workspace.path("saved"))
     hits = search_index(_label_examples(vectors), index, query_id="label")
     names = vectors.select("vec_id", F.col("label").cast("bigint").alias("hit_label"))
-    return fetch_hits(hits.rows, names, "vec_id", hits.max_rows).select(
+    return fetch_hits(hits, names, "vec_id").select(
         "label", "rank", "vec_pos", "vec_id", "hit_label", "squared_l2"
     )
 

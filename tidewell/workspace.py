@@ -41,7 +41,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A uniquely named folder of staged tables under the shared root."""
+    """A uniquely named folder of staged tables under the shared root.
+
+    As a context manager it removes its folder on leaving; use it so when the
+    results have been written elsewhere by then.
+    """
 
     def __init__(self, spark: SparkSession, label: str = "work") -> None:
         self.spark = spark
@@ -55,3 +59,15 @@ class Workspace:
         target = self.path(name)
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
+
+    def clear(self) -> None:
+        """Delete the folder and all that was staged in it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        path.getFileSystem(conf).delete(path, True)
+
+    def __enter__(self) -> "Workspace":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.clear()
