@@ -60,8 +60,9 @@ def test_plans_agree_with_brute_force(spark):
     want = sorted(brute_force(queries, corpus, np.arange(400), 4))
     c, q = frame(spark, corpus, "chunk_id", 5), frame(spark, queries, "query_id", 3)
     assert found_rows(nearest(q, c, 4)) == want
-    assert found_rows(nearest(q, c, 4, broadcast_bytes=900)) == want
-    cells = nearest(q, c, 4, broadcast_bytes=900, max_passes=2, stream_bytes=2000)
+    assert found_rows(nearest(q, c, 4, broadcast_bytes=400)) == want
+    assert plan_of(nearest(q, c, 4, broadcast_bytes=400)).count("MapInArrow") == 3
+    cells = nearest(q, c, 4, broadcast_bytes=400, max_passes=2, stream_bytes=2000)
     assert plan_of(cells).count("MapInArrow") == 1 and "_cell" in plan_of(cells)
     assert found_rows(cells) == want
 
@@ -86,7 +87,7 @@ def test_small_corpus_is_broadcast_and_ranks_without_a_shuffle(spark):
     rng = np.random.default_rng(4)
     corpus, queries = rng.random((8, 3), dtype=np.float32), rng.random((300, 3), dtype=np.float32)
     c, q = frame(spark, corpus, "chunk_id", 1), frame(spark, queries, "query_id", 4)
-    found = find_nearest(q, c, 2, broadcast_bytes=8 * 3 * 8 + 8)
+    found = find_nearest(q, c, 2, broadcast_bytes=8 * 3 * 4 + 8)
     assert found_rows(found.rows) == sorted(brute_force(queries, corpus, np.arange(8), 2))
     assert "Window" not in plan_of(found.rows)
 

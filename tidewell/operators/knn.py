@@ -40,6 +40,7 @@ _NO_ID = np.iinfo(np.int64).max
 _CORPUS_BLOCK = 4096
 _QUERY_BLOCK = 256
 _EXACT_PAIRS = 16384
+_SINGLE_PRECISION_LIMIT = 1e30
 # Two distances whose difference is below this may swap places in rounding.
 _ROUNDING_SLACK = 2.0 * 10.0**-DISTANCE_PLACES
 
@@ -58,6 +59,13 @@ def vector_matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) ->
     return np.asarray(values, dtype=np.float32).reshape(len(lengths), width)
 
 
+def _squared_norms(matrix: np.ndarray) -> np.ndarray:
+    norms = np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64)
+    if not np.isfinite(norms).all():
+        raise ValueError("vectors must be finite")
+    return norms
+
+
 class RunningTopK:
     """The k nearest of all vectors offered so far, for a block of queries.
 
@@ -67,35 +75,37 @@ class RunningTopK:
 
     def __init__(self, queries: np.ndarray, k: int) -> None:
         self.k = k
-        self.queries = queries.astype(np.float64)
-        self.norms = np.einsum("ij,ij->i", self.queries, self.queries)
-        if not np.isfinite(self.norms).all():
-            raise ValueError("vectors must be finite")
+        self.queries = queries
+        self.norms = _squared_norms(queries)
         self.distance = np.full((len(queries), k), np.inf)
         self.ids = np.full((len(queries), k), _NO_ID, dtype=np.int64)
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for at in range(0, len(ids), _CORPUS_BLOCK):
-            block = vectors[at : at + _CORPUS_BLOCK].astype(np.float64)
-            block_ids = ids[at : at + _CORPUS_BLOCK]
-            norms = np.einsum("ij,ij->i", block, block)
-            if not np.isfinite(norms).all():
-                raise ValueError("vectors must be finite")
+            block = vectors[at : at + _CORPUS_BLOCK]
+            norms = _squared_norms(block)
             for lo in range(0, len(self.queries), _QUERY_BLOCK):
-                self._offer_block(slice(lo, lo + _QUERY_BLOCK), block_ids, block, norms)
+                self._offer_block(
+                    slice(lo, lo + _QUERY_BLOCK), ids[at : at + _CORPUS_BLOCK], block, norms
+                )
 
     def _offer_block(
         self, rows: slice, ids: np.ndarray, block: np.ndarray, norms: np.ndarray
     ) -> None:
         queries, q_norms = self.queries[rows], self.norms[rows]
-        rough = q_norms[:, None] + norms[None, :] - 2.0 * (queries @ block.T)
-        unit = np.finfo(np.float64).eps * (queries.shape[1] + 8)
-        error = (unit * 2.0 * (q_norms + norms.max()) + _ROUNDING_SLACK)[:, None]
-        limit = self.distance[rows, -1][:, None]
-        near = rough - error <= limit
-        if near.sum() > 2 * self.k * len(queries) and len(ids) > self.k:
-            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            near &= rough <= kth + 2.0 * error
+        largest = q_norms + norms.max()
+        # Single precision is enough to sort out most pairs; it must not overflow.
+        kind = np.float32 if largest.max() < _SINGLE_PRECISION_LIMIT else np.float64
+        rough = queries.astype(kind, copy=False) @ block.T.astype(kind, copy=False)
+        rough *= -2
+        rough += norms.astype(kind)
+        rough += q_norms.astype(kind)[:, None]
+        unit = np.finfo(kind).eps * 2.0 * (queries.shape[1] + 8)
+        error = unit * largest + _ROUNDING_SLACK
+        near = rough <= (self.distance[rows, -1] + error)[:, None]
+        if np.count_nonzero(near) > 2 * self.k * len(queries) and len(ids) > self.k:
+            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
+            near &= rough <= (kth + 2.0 * error)[:, None]
         q_at, c_at = np.nonzero(near)
         if len(q_at) > _EXACT_PAIRS:
             useful = self._without_spare_copies(np.unique(c_at), ids, block)
@@ -106,7 +116,7 @@ class RunningTopK:
         exact = np.empty(len(q_at))
         for lo in range(0, len(q_at), _EXACT_PAIRS):
             pair = slice(lo, lo + _EXACT_PAIRS)
-            gap = queries[q_at[pair]] - block[c_at[pair]]
+            gap = queries[q_at[pair]].astype(np.float64) - block[c_at[pair]]
             exact[pair] = np.einsum("ij,ij->i", gap, gap)
         self._merge(rows, q_at, np.round(exact, DISTANCE_PLACES), ids[c_at])
 
@@ -164,8 +174,8 @@ class _Size:
 
     @property
     def matrix_bytes(self) -> int:
-        """Ids and vectors in the double precision a task computes in."""
-        return self.rows * self.dim * 8 + self.id_bytes
+        """Ids and single-precision vectors, as they are sent."""
+        return self.rows * self.dim * 4 + self.id_bytes
 
     def hit_bytes(self, k: int) -> int:
         """At most k hits per query: id, rank, neighbour and two distances."""
@@ -369,7 +379,7 @@ def find_nearest(
         passes = [_with_few_queries(q.group(n, groups), c, k, schema) for n in range(groups)]
         found = reduce(DataFrame.unionByName, passes)
     else:
-        corpus_bytes = sizes["corpus"].matrix_bytes // 2
+        corpus_bytes = sizes["corpus"].matrix_bytes
         slots = corpus.sparkSession.sparkContext.defaultParallelism
         corpus_groups = max(-(-corpus_bytes // stream_bytes), -(-slots // groups))
         found = _by_cells(q, c, k, schema, groups, corpus_groups)
