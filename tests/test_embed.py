@@ -1,3 +1,6 @@
+import os
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +33,22 @@ def test_any_encoder_fits(spark):
     assert sorted(r.embedding for r in found.collect()) == [[0, 1], [2, 1], [4, 1]]
 
 
+def test_a_model_is_made_once_per_worker(spark, workspace):
+    log = workspace.path("loads")
+
+    class Slow:
+        def __init__(self):
+            os.makedirs(log, exist_ok=True)
+            open(os.path.join(log, uuid.uuid4().hex), "w").close()
+
+        def encode(self, texts):
+            return np.ones((len(texts), 1))
+
+    rows = spark.range(400, numPartitions=40).select(F.col("id").cast("string").alias("t"))
+    assert embed(rows, "t", Slow).where("embedding[0] = 1").count() == 400
+    assert 1 <= len(os.listdir(log)) < 40
+
+
 def test_index_stats(spark):
     rows = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "embedding ARRAY<FLOAT>")
     assert tuple(index_stats(rows).first()) == (2, 2)

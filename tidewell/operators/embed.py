@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewell.operators.models import once_per_worker
+
 # Fixed value: the dimension of the vectors unless an encoder says otherwise.
 EMBEDDING_DIM = 384
 
@@ -28,17 +30,28 @@ class HashedWords:
     hex digits of its MD5, modulo ``dim``.
     """
 
+    _MOST_KNOWN = 1_000_000
+
     def __init__(self, dim: int = EMBEDDING_DIM) -> None:
         self.dim = dim
+        self._known: dict[str, int] = {"": -1}
 
     def bucket(self, word: str) -> int:
         return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim
 
+    def _buckets(self, vocabulary: list[str]) -> list[int]:
+        if len(self._known) > self._MOST_KNOWN:
+            self._known = {"": -1}
+        for word in vocabulary:
+            if word not in self._known:
+                self._known[word] = self.bucket(word)
+        return [self._known[word] for word in vocabulary]
+
     def encode(self, texts: list[str]) -> np.ndarray:
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
-        buckets = np.array([self.bucket(w) if w else -1 for w in vocabulary], np.int64)
+        buckets = np.array(self._buckets(vocabulary), np.int64)
         column = buckets[coded.indices.to_numpy(zero_copy_only=False)]
         row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
         real = column >= 0
@@ -60,12 +73,12 @@ def vector_array(matrix: np.ndarray) -> pa.ListArray:
 def embedding(text: Column, encoder: Callable[[], Encoder] = HashedWords) -> Column:
     """``ARRAY<FLOAT>`` vectors of a text column.
 
-    ``encoder`` makes the encoder inside the task; it runs once per partition,
-    so a heavy model is not loaded again for every batch.
+    ``encoder`` makes the encoder inside the task, once per worker process.
     """
+    load = once_per_worker(encoder)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = encoder()
+        model = load()
         for texts in batches:
             rows = [text or "" for text in texts.to_pylist()]
             if rows:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from tidewell.functions.text import NO_ANSWER
+from tidewell.operators.models import once_per_worker
 
 # Fixed value: longest output a generator is asked for.
 MAX_LENGTH = 512
@@ -28,10 +29,11 @@ def extractive_answer(best_chunk: Column) -> Column:
 def generated_answer(
     prompt: Column, generator: Callable[[], Generator], max_length: int = MAX_LENGTH
 ) -> Column:
-    """Answers of a model that ``generator`` makes once per partition."""
+    """Answers of a model that ``generator`` makes once per worker process."""
+    load = once_per_worker(generator)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = generator()
+        model = load()
         for prompts in batches:
             yield pa.array(model.generate(prompts.to_pylist(), max_length), pa.string())
 
