@@ -56,7 +56,11 @@ def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     names = sys.argv[2:] or list(entry_points.queries())
     spark = build_session(
-        "check", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions=8
+        "check",
+        "local[8]",
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+        spark__sql__shuffle__partitions=8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)

@@ -286,10 +286,11 @@ ORACLES: dict[str, str] = {
     "policy_nearest": f"""WITH entries AS (
           SELECT * FROM (VALUES {_values(samples.ENTRIES)}) v(id, topic, content)
         ), turns AS (SELECT conv_id || '-' || turn AS id, {_clean("text")} AS t FROM conversations),
-        {_encoded("entry_vectors", f"SELECT CAST(id AS BIGINT) AS id, {_clean('content')} AS t FROM entries")},
+        entry_texts AS (SELECT CAST(id AS BIGINT) AS id, {_clean("content")} AS t FROM entries),
+        {_encoded("entry_vectors", "SELECT id, t FROM entry_texts")},
         {_encoded("turn_vectors", "SELECT id, t FROM turns")},
         {_ranked("ranked", "turn_vectors", "SELECT id FROM turns",
-                 "entry_vectors", "SELECT CAST(id AS BIGINT) AS id FROM entries", 1)}
+                 "entry_vectors", "SELECT id FROM entry_texts", 1)}
         SELECT q_id AS query_id, c_id AS id, topic, content, squared_l2
         FROM ranked JOIN entries ON entries.id = c_id""",
 }

@@ -6,16 +6,15 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.functions.names import quote
 from tidewell.functions.text import clean_text, preview
 from tidewell.functions.vectors import as_floats
 from tidewell.operators.chatlog import append_exchanges
 from tidewell.operators.chunk import chunk_documents
 from tidewell.operators.embed import embed
 from tidewell.operators.ids import dense_ids, unique_id
-from tidewell.operators.knn import find_nearest, nearest
+from tidewell.operators.knn import nearest
 from tidewell.operators.lookup import fetch_hits, rows_with_ids
 from tidewell.partitioning import spread
 from tidewell.plans import agent, faq
