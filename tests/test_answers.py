@@ -82,6 +82,10 @@ def test_any_generator_fits(layers, questions):
     hits = retrieve(questions, layers.vectors, 1)
     found = agent.answer_questions(questions, hits, Shouting).collect()
     assert {r.answer for r in found} == {q.upper() for _, q in QUESTIONS}
+    cited = agent.answer_with_sources(questions, hits, Shouting)
+    assert all(r.response.startswith(r.answer + "\n\n**Sources:**\n- *") for r in cited.collect())
+    plan = cited._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") == 1
 
 
 def test_answered_questions_continue_the_log(spark, layers, questions):

@@ -305,8 +305,9 @@ def medallion_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The non-zero components of every chunk's vector."""
     vectors = embed(_document_chunks(spark, folder), "chunk_text")
+    # The outer form has no filter on the vectors inferred, which would encode twice.
     return vectors.select(
-        "doc_id", "chunk_no", F.posexplode("embedding").alias("position", "weight")
+        "doc_id", "chunk_no", F.posexplode_outer("embedding").alias("position", "weight")
     ).where("weight <> 0").select(
         "doc_id",
         "chunk_no",
