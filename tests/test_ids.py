@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from tidewell import partitioning
 from tidewell.operators.ids import dense_ids, unique_id
+from tidewell.partitioning import estimated_bytes, partitions_for, spread
 from tidewell.sinks.tables import PathTarget
 from tidewell.workspace import Workspace
 
@@ -14,13 +16,13 @@ def test_dense_ids_follow_the_order(spark, workspace):
 
 
 def test_a_hot_key_is_split_and_keeps_dense_ids(spark, workspace):
-    rows = spark.range(4000, numPartitions=8).select(
+    rows = spark.range(300_000, numPartitions=8).select(
         F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc")
     )
     dense_ids(rows, workspace, ["doc"]).createOrReplaceTempView("numbered")
     ids = spark.sql("SELECT count(*) n, count(DISTINCT chunk_id) d, min(chunk_id) lo, "
                     "max(chunk_id) hi FROM numbered").first()
-    assert tuple(ids) == (4000, 4000, 0, 3999)
+    assert tuple(ids) == (300_000, 300_000, 0, 299_999)
     assert spark.sql(
         "SELECT count(*) FROM numbered a JOIN numbered b "
         "ON b.chunk_id = a.chunk_id + 1 WHERE b.doc < a.doc"
@@ -53,3 +55,17 @@ def test_a_workspace_removes_only_its_own_folder(spark, workspace):
     assert kept.count() == 3
     assert not PathTarget(spark, left.root).exists()
     left.clear()
+
+
+def test_small_inputs_are_dealt_out_and_large_ones_left_alone(spark, workspace, monkeypatch):
+    stored = workspace.stage(spark.range(500_000, numPartitions=1), "one-file")
+    assert partitions(spread(stored)) == 4
+    assert partitions(spread(spark.range(10).limit(3))) == 1
+    monkeypatch.setattr(partitioning, "_split_bytes", lambda df: 1)
+    assert partitions(spread(stored)) == partitions(stored)
+    monkeypatch.setattr(partitioning, "SHUFFLE_BYTES", estimated_bytes(stored) // 20)
+    assert partitions_for(stored) >= 20
+
+
+def partitions(df):
+    return df.rdd.getNumPartitions()

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 # Largest table, in bytes, that may be sent whole to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Stored bytes of a table that make up one partition of an explicit shuffle.
+# Stored bytes of a table that make up one partition of an explicit shuffle,
+# and the fewest that are worth a task of their own.
 SHUFFLE_BYTES = 64 * 1024 * 1024
+LEAST_BYTES = 64 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -23,20 +25,27 @@ def _split_bytes(df: DataFrame) -> int:
     return int(digits) if digits.isdigit() else 128 * 1024 * 1024
 
 
+def _worth_slots(df: DataFrame, stored: int) -> int:
+    """Tasks a small input of ``stored`` bytes is dealt to: the cores, or fewer."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(slots, -(-stored // LEAST_BYTES)))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal ``df`` out over all cores when its scan is too small to fill them.
+    """Deal ``df`` out over the cores when its scan is too small to fill them.
 
     An input with at least one full file split per core already spreads by
     itself and is returned as it is: no shuffle at scale. Rows are dealt round
     robin, so no value can make a partition hot.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= slots * _split_bytes(df):
+    stored = estimated_bytes(df)
+    if stored >= slots * _split_bytes(df):
         return df
-    return df.repartition(slots)
+    return df.repartition(_worth_slots(df, stored))
 
 
 def partitions_for(df: DataFrame) -> int:
-    """How many partitions to shuffle ``df`` into, by its size and never below the cores."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return max(slots, -(-estimated_bytes(df) // SHUFFLE_BYTES))
+    """How many partitions to shuffle ``df`` into, by its stored size."""
+    stored = estimated_bytes(df)
+    return max(_worth_slots(df, stored), -(-stored // SHUFFLE_BYTES))
