@@ -54,7 +54,7 @@ def compare(spark, connection, name: str, folder: str) -> tuple[bool, str]:
 
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    names = sys.argv[2:] or list(entry_points.queries())
+    names = sys.argv[2:] or list(entry_points.oracle_sql())
     spark = build_session(
         "check",
         "local[8]",
