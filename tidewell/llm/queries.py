@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.llm.language import identify_language
+from tidewell.llm.ngram_join import ngram_components
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import score_quality
+from tidewell.llm.revisit import captures_of_pages, resolve_revisits
 from tidewell.llm.secrets import scan_secrets, span_digest
 from tidewell.llm.toxicity import score_toxicity
 
@@ -17,6 +19,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every revisit of the crawl derived from ``pages``; headers spelled out, payload hashed."""
+    resolved = resolve_revisits(captures_of_pages(_table(spark, folder, "pages")))
+    lines = F.transform("headers", lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    return resolved.select(
+        "record_id",
+        "canonical_url",
+        "status",
+        "response_id",
+        F.array_join(lines, "\n").alias("headers"),
+        F.md5("payload").alias("payload_md5"),
+        F.length("payload").cast("long").alias("payload_chars"),
+    )
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -33,16 +50,64 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(_table(spark, folder, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
     "op2_quality": op2_quality,
     "op4_language": op4_language,
     "op5_secrets": op5_secrets,
     "op7_packing": op7_packing,
+    "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_OP1_SQL = r"""
+WITH spelled AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> ''
+      AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid)(=|$)'))) AS kept
+  FROM spelled
+), page AS (
+  SELECT page_id, html,
+    host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url,
+    '"' || md5(html) || '"' AS tag
+  FROM parts
+), revisit AS (
+  SELECT page_id * 3 + 1 AS record_id, page_id, canonical_url, page_id * 10 + 5 AS at,
+    CASE page_id % 4 WHEN 0 THEN tag WHEN 1 THEN tag WHEN 3 THEN '"other"' END AS tag
+  FROM page
+  UNION ALL
+  SELECT page_id * 3 + 2, page_id, canonical_url, page_id * 10 - 5, tag FROM page
+), found AS (
+  SELECT v.*, p.page_id AS full_id, p.tag AS full_tag, p.html
+  FROM revisit v ASOF LEFT JOIN (SELECT *, page_id * 10 AS at FROM page) p
+    ON v.canonical_url = p.canonical_url AND v.at > p.at
+), judged AS (
+  SELECT *, CASE WHEN full_id IS NULL THEN 'no_earlier_response'
+    WHEN coalesce(tag = full_tag, page_id = full_id) THEN 'resolved'
+    ELSE 'validator_mismatch' END AS status
+  FROM found
+)
+SELECT record_id, canonical_url, status,
+  CASE WHEN status = 'resolved' THEN full_id * 3 END AS response_id,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html'
+    || chr(10) || 'date: day ' || page_id || ' later' || chr(10) || 'etag: ' || full_tag
+    || chr(10) || 'server: first' END AS headers,
+  CASE WHEN status = 'resolved' THEN md5(html) END AS payload_md5,
+  CASE WHEN status = 'resolved' THEN length(html) END AS payload_chars
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {"op1_revisits": _OP1_SQL}
