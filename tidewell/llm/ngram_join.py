@@ -9,7 +9,7 @@ table of fixed size (any order common to all is right, only speed depends on it)
 2. Write every set's prefix postings. Documents with equal sets are one class,
    represented by its least document.
 3. Keep postings whose shingle several sets share.
-4. Candidates: in each shingle's group, every set with the group's least set. After
+4. Candidates: in each shingle's group, every set with the group's hub. After
    the length and positional filters they are verified once each, by the suffix
    filter and then exactly; links give components.
 5. A group whose sets are all in one component needs no more. In the others, pairs of
@@ -17,8 +17,8 @@ table of fixed size (any order common to all is right, only speed depends on it)
 
 Every pair that the result depends on is verified or ruled out by a bound, so the
 components are those of the full link graph. No step lists all pairs of a group:
-copies are one class, and near copies meet their group's least set only, unless that
-leaves them apart.
+copies are one class, and near copies meet their group's hub only, unless that leaves
+them apart.
 
 Edge cases: texts that are null, empty or without words have an empty set and link
 with nothing; with fewer than five words the whole sequence is the only shingle;
@@ -258,15 +258,26 @@ def _candidates(matches: DataFrame) -> DataFrame:
 
 
 def hub_candidates(postings: DataFrame) -> DataFrame:
-    """Every set of a shingle's group with the group's least set."""
+    """Every set of a shingle's group with the group's hub.
+
+    The hub is the set in which the shingle comes first: of near copies the one with
+    fewest rarer shingles of its own, so the one most like all others.
+    """
     hubs = postings.groupBy("shingle").agg(
-        F.min(F.struct("id", "n", "place")).alias("hub"), F.max("id").alias("top")
+        F.min(F.struct("place", "id", "n")).alias("hub"),
+        F.min("id").alias("low"),
+        F.max("id").alias("high"),
     )
-    hubs = hubs.where("hub.id < top").select("shingle", "hub")
-    matches = postings.join(hubs, "shingle").where("id > hub.id").where(_may_link("n", "hub.n"))
+    hubs = hubs.where("low < high").select("shingle", "hub")
+    matches = postings.join(hubs, "shingle").where("id <> hub.id").where(_may_link("n", "hub.n"))
     return _candidates(
         matches.selectExpr(
-            "hub.id a", "id b", "hub.n n_a", "n n_b", "hub.place place_a", "place place_b"
+            "least(id, hub.id) a",
+            "greatest(id, hub.id) b",
+            "if(id < hub.id, n, hub.n) n_a",
+            "if(id < hub.id, hub.n, n) n_b",
+            "if(id < hub.id, place, hub.place) place_a",
+            "if(id < hub.id, hub.place, place) place_b",
         )
     )
 
