@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewell.llm.decontaminate import contaminated_passages
 from tidewell.llm.language import identify_language
+from tidewell.llm.neighbours import nearest_neighbours
 from tidewell.llm.ngram_join import ngram_components
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import score_quality
@@ -46,10 +48,20 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(scan_secrets(_table(spark, folder, "documents")))
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, folder, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated_passages(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(_table(spark, folder, "documents"))
 
@@ -63,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_language": op4_language,
     "op5_secrets": op5_secrets,
+    "op6_neighbours": op6_neighbours,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
