@@ -40,7 +40,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    kind = np.int64 if large else np.int32
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()

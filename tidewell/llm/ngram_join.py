@@ -225,16 +225,14 @@ def describe_sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def shared_postings(described: DataFrame) -> DataFrame:
     """(shingle, id, n, place) of prefix shingles that several postings have.
 
-    The id is the first half of the set's fingerprint. Postings are first counted
-    by a 32-bit part of the shingle, so most, which nothing shares, take no further part.
+    The id is the first half of the set's fingerprint. Most shingles have one posting
+    and take no further part.
     """
-    postings = (
-        described.where("prefix is not null")
-        .select("n", F.col("set_1").alias("id"), F.posexplode("prefix").alias("place", "shingle"))
-        .withColumn("part", F.shiftright("shingle", 32).cast("int"))
+    postings = described.where("prefix is not null").select(
+        "n", F.col("set_1").alias("id"), F.posexplode("prefix").alias("place", "shingle")
     )
-    several = postings.groupBy("part").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("part")
-    return postings.join(several, "part").select("shingle", "id", "n", "place")
+    several = postings.groupBy("shingle").count().where("count > 1").select("shingle")
+    return postings.join(several, "shingle").select("shingle", "id", "n", "place")
 
 
 def _may_link(a: str, b: str) -> str:

@@ -14,6 +14,7 @@ from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import score_quality
 from tidewell.llm.revisit import captures_of_pages, resolve_revisits
 from tidewell.llm.secrets import scan_secrets, span_digest
+from tidewell.llm.suffix_dedup import remove_repeats, repeat_digest
 from tidewell.llm.toxicity import score_toxicity
 
 
@@ -40,6 +41,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_digest(remove_repeats(_table(spark, folder, "documents")))
+
+
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify_language(_table(spark, folder, "documents"))
 
@@ -73,6 +78,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language": op4_language,
     "op5_secrets": op5_secrets,
     "op6_neighbours": op6_neighbours,
