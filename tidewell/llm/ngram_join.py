@@ -222,16 +222,19 @@ def describe_sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def shared_postings(described: DataFrame) -> DataFrame:
+def shared_postings(described: DataFrame, workspace: Workspace) -> DataFrame:
     """(shingle, id, n, place) of prefix shingles that several postings have.
 
     The id is the first half of the set's fingerprint. Most shingles have one posting
-    and take no further part.
+    and take no further part. Those of several are written, which leaves the join free
+    to split a shingle that very many sets share.
     """
     postings = described.where("prefix is not null").select(
         "n", F.col("set_1").alias("id"), F.posexplode("prefix").alias("place", "shingle")
     )
-    several = postings.groupBy("shingle").count().where("count > 1").select("shingle")
+    several = workspace.stage(
+        postings.groupBy("shingle").count().where("count > 1").select("shingle"), "several"
+    )
     return postings.join(several, "shingle").select("shingle", "id", "n", "place")
 
 
@@ -255,7 +258,7 @@ def _candidates(matches: DataFrame) -> DataFrame:
     )
 
 
-def hub_candidates(postings: DataFrame) -> DataFrame:
+def hub_candidates(postings: DataFrame, workspace: Workspace) -> DataFrame:
     """Every set of a shingle's group with the group's hub.
 
     The hub is the set in which the shingle comes first: of near copies the one with
@@ -266,7 +269,7 @@ def hub_candidates(postings: DataFrame) -> DataFrame:
         F.min("id").alias("low"),
         F.max("id").alias("high"),
     )
-    hubs = hubs.where("low < high").select("shingle", "hub")
+    hubs = workspace.stage(hubs.where("low < high").select("shingle", "hub"), "hubs")
     matches = postings.join(hubs, "shingle").where("id <> hub.id").where(_may_link("n", "hub.n"))
     return _candidates(
         matches.selectExpr(
@@ -280,7 +283,7 @@ def hub_candidates(postings: DataFrame) -> DataFrame:
     )
 
 
-def open_candidates(postings: DataFrame, parts: DataFrame) -> DataFrame:
+def open_candidates(postings: DataFrame, parts: DataFrame, workspace: Workspace) -> DataFrame:
     """Pairs of a shingle's group that are in different components, where there are any."""
     placed = postings.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
@@ -291,7 +294,8 @@ def open_candidates(postings: DataFrame, parts: DataFrame) -> DataFrame:
         .where("low < high")
         .select("shingle")
     )
-    rest = placed.join(mixed_groups, "shingle").distinct()
+    rest = placed.join(workspace.stage(mixed_groups, "mixed"), "shingle").distinct()
+    rest = workspace.stage(rest, "mixed-postings")
     matches = rest.alias("x").join(
         rest.alias("y"),
         F.expr(
@@ -389,16 +393,16 @@ def ngram_components(docs: DataFrame, workspace: Workspace | None = None) -> Dat
         narrow.where("n > 0").groupBy("n", "set_1", "set_2").agg(F.min("doc_id").alias("least")),
         "classes",
     )
-    postings = workspace.stage(shared_postings(described), "postings")
+    postings = workspace.stage(shared_postings(described, workspace), "postings")
     # Sets whose half fingerprints agree by chance share an id; then none of them
     # is told apart by it, and the class with the least document stands for it.
     members = classes.groupBy(F.col("set_1").alias("id")).agg(F.min("least").alias("doc_id"))
-    first = workspace.stage(hub_candidates(postings), "hub-pairs")
+    first = workspace.stage(hub_candidates(postings, workspace), "hub-pairs")
     sets = workspace.stage(candidate_sets(docs, members, first), "hub-sets")
     links = workspace.stage(verified(first, sets), "hub-links")
     parts = components(links, workspace, "hubs")
     rest = workspace.stage(
-        open_candidates(postings, parts).join(first, ["a", "b"], "left_anti"), "open-pairs"
+        open_candidates(postings, parts, workspace).join(first, ["a", "b"], "left_anti"), "open-pairs"
     )
     known = sets.select("id")
     more_sets = workspace.stage(

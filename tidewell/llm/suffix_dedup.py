@@ -14,7 +14,9 @@ are exactly the repeated strings. Digits here are stretches of bytes, told apart
    a stretch occurs twice, all its strings are repeated, however many copies there are.
 3. Where stretches of one first digit differ, one of each is read again and its strings
    go through the remaining digits, four of fifty bytes. A group of few stretches is
-   sorted in one task; strings of a group of many are spread by fingerprint and counted.
+   sorted in one task. A group of many is divided further: runs of ``PART`` strings by
+   the bytes all of them have, where copies are again told at once, and what is left
+   string by string, spread by fingerprint and counted.
 
 No pass needs all of a group in one task, and copies cost one narrow row an anchor.
 
@@ -47,6 +49,9 @@ DIGIT = 50
 # Different stretches of a first digit that are sorted in one task at most.
 FEW = 400
 
+# Strings in a part of a stretch of a larger group.
+PART = 16
+
 # Bits of the table that tells which documents a join is about.
 MARKED_BITS = 24
 
@@ -333,8 +338,79 @@ def sorted_groups(rows: DataFrame) -> DataFrame:
     return cold.mapInArrow(run, RUNS)
 
 
+def divided(rows: DataFrame) -> DataFrame:
+    """(digit, code, many, key, place, bytes) of the parts of the stretches of groups of many.
+
+    A part is up to ``PART`` strings at fixed distances from the anchor. Its digit is
+    the bytes that all of them have, its code the whole of it.
+    """
+    schema = "digit long, code long, many boolean, key long, place long, bytes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints()
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                table = pa.Table.from_batches([batch.slice(at, 1024)])
+                if not table.num_rows:
+                    continue
+                data, row, begin, distance, index = _strings_of(table)
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (distance[1:] // PART != distance[:-1] // PART)
+                first = np.flatnonzero(fresh)
+                number = np.diff(np.append(first, len(row)))
+                start, own = begin[first], prints.over(data)
+                # Every string of a part has the bytes from where its last could begin
+                # to where its first could end.
+                core = start + distance[first] % PART
+                digit = own.of(core, core + DEPTH - PART + 1)
+                group = table["digit"].to_numpy()[row[first]].view(np.uint64)
+                digit = mixed(digit + group * _MIX + (distance[first] // PART).astype(np.uint64))
+                end = start + number - 1 + DEPTH
+                code = own.of(start, end)
+                code = mixed(code + (distance[first] * 256 + number).astype(np.uint64) * _MIX)
+                place = table["place"].to_numpy()[row[first]]
+                begins = (place >> 32) + index[first]
+                place = (begins << 32) | (number << 24) | (distance[first] << 16) | (place & 65535)
+                whole = data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(digit.view(np.int64)),
+                        pa.array(code.view(np.int64)),
+                        table["many"].combine_chunks().take(pa.array(row[first])),
+                        table["key"].combine_chunks().take(pa.array(row[first])),
+                        pa.array(place),
+                        pa.array([whole[a:b] for a, b in zip(start, end)], pa.binary()),
+                    ],
+                    ["digit", "code", "many", "key", "place", "bytes"],
+                )
+
+    return rows.where("hot").mapInArrow(run, schema)
+
+
+def divided_runs(read: DataFrame, workspace: Workspace) -> DataFrame:
+    """Repeated strings of the stretches of groups of many, as runs."""
+    parts = workspace.stage(divided(read), "parts")
+    kinds = workspace.stage(
+        parts.groupBy("digit", "code").agg(
+            F.expr("count(*) > 1 or bool_or(many)").alias("again"),
+            F.min(F.struct("key", "place")).alias("one"),
+        ),
+        "part-kinds",
+    )
+    copies = parts.where("not many").join(kinds.where("again"), ["digit", "code"]).selectExpr(
+        "key", f"cast({_MARK} as int) mark", f"{_START} first", f"({_START}) + ({_STRINGS}) - 1 last"
+    )
+    number = kinds.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    chosen = workspace.stage(kinds.join(number, "digit"), "part-chosen")
+    rest = parts.join(chosen, ["digit", "code"]).where(
+        "key = one.key and place = one.place"
+    )
+    strings = spread_strings(rest.select(F.col("again").alias("many"), "key", "place", "bytes"))
+    return copies.union(counted_strings(workspace.stage(strings, "strings")))
+
+
 def spread_strings(rows: DataFrame) -> DataFrame:
-    """(one, two, many, key, place, at) of every string of the groups of many, by fingerprint."""
+    """(one, two, many, key, place, at) of every string of the rows, by fingerprint."""
     schema = "one long, two long, many boolean, key long, place long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +437,11 @@ def spread_strings(rows: DataFrame) -> DataFrame:
                     ["one", "two", "many", "key", "place", "at"],
                 )
 
-    return rows.where("hot").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def counted_strings(strings: DataFrame) -> DataFrame:
-    """Repeated strings of the groups of many, as runs of one string."""
+    """Repeated strings among those spread, as runs of one string."""
     again = (
         strings.groupBy("one", "two")
         .agg(F.count(F.lit(1)).alias("n"), F.bool_or("many").alias("with_copies"))
@@ -435,7 +511,10 @@ def remove_repeats(docs: DataFrame, workspace: Workspace | None = None) -> DataF
     workspace = workspace or scratch(docs.sparkSession, "suffixes")
     keyed = _keyed(docs)
     every = workspace.stage(anchor_rows(keyed), "anchors")
-    several = every.groupBy("digit").count().where("count > 1").select("digit")
+    # A written side leaves the join free to split a digit that very many anchors share.
+    several = workspace.stage(
+        every.groupBy("digit").count().where("count > 1").select("digit"), "several"
+    )
     left = workspace.stage(every.join(several, "digit"), "first-digit")
     kinds = left.groupBy("digit", "code").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("one")
@@ -452,8 +531,7 @@ def remove_repeats(docs: DataFrame, workspace: Workspace | None = None) -> DataF
         "key", f"cast({_MARK} as int) mark", f"{_START} first", f"({_START}) + ({_STRINGS}) - 1 last"
     )
     read = workspace.stage(stretches(keyed, chosen), "read")
-    strings = workspace.stage(spread_strings(read), "strings")
-    runs = copies.union(sorted_groups(read)).union(counted_strings(strings))
+    runs = copies.union(sorted_groups(read)).union(divided_runs(read, workspace))
     return remove_runs(keyed, workspace.stage(runs, "runs"))
 
 
