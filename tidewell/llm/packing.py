@@ -34,7 +34,7 @@ CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 
 # Words a worker remembers, and their bytes; beyond either it starts anew.
-KNOWN_WORDS, KNOWN_BYTES = 300_000, 32 << 20
+KNOWN_WORDS, KNOWN_BYTES = 900_000, 64 << 20
 
 # Branch and bound stops with the incumbent after so many nodes; a node tries so many
 # fillings, found in so many steps. Rows ranked in one task at most, about.
@@ -56,6 +56,22 @@ class _Index(dict):
         return number
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _small(text: str) -> str:
+    """The text in small letters, where the vocabulary's own folding surely does the same.
+
+    So it is for Latin-1 without what might be the beginning of a special token.
+    """
+    return text.lower() if _latin(text) and "<|" not in text else text
+
+
 class WordTokens:
     """Token ids of whole texts, word by word.
 
@@ -69,6 +85,10 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # In this vocabulary a word's last token, and no other, is marked as such.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -80,21 +100,56 @@ class WordTokens:
         self.used = 0
 
     def _learn(self) -> None:
-        new, self.index.pending = self.index.pending, []
-        first = len(self.index) - len(new)
+        """Tokenise the pending words, those of plain letters many at a time.
+
+        Letters with one full stop or comma are put together from both.
+        """
+        plain: list[tuple[int, str]] = []
+        joined: list[tuple[int, int, int]] = []
+        at = 0
+        first = len(self.index) - len(self.index.pending)
+        while at < len(self.index.pending):  # parts of words may become pending
+            word = self.index.pending[at]
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                joined.append((first + at, self.index[word[:-1]], self.index[word[-1]]))
+            else:
+                plain.append((first + at, word))
+            at += 1
+        self.bytes += sum(map(len, self.index.pending))
+        self.index.pending = []
         while len(self.sizes) < len(self.index):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        for at in range(0, len(new), 4096):
-            coded = self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)
-            for i, encoding in enumerate(coded, first + at):
-                ids = encoding.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[i], self.sizes[i] = self.used, len(ids)
-                self.used += len(ids)
-        self.bytes += sum(map(len, new))
+        letters, others = [], []
+        for item in plain:
+            (letters if item[1].isalpha() and _latin(item[1]) else others).append(item)
+        for at in range(0, len(letters), 512):
+            some = letters[at : at + 512]
+            line = " ".join(word for _, word in some)
+            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.int64)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            assert len(last) == len(some) and last[-1] == len(ids)
+            numbers = np.array([number for number, _ in some])
+            begins = np.concatenate([[0], last[:-1]])
+            base = self.used
+            self._store(numbers[0], ids)
+            self.starts[numbers], self.sizes[numbers] = base + begins, last - begins
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            words = [word for _, word in some]
+            coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+            for (number, _), encoding in zip(some, coded):
+                self._store(number, encoding.ids)
+        for number, *parts in joined:
+            ids = [self.flat[self.starts[p] : self.starts[p] + self.sizes[p]] for p in parts]
+            self._store(number, np.concatenate(ids))
+
+    def _store(self, number: int, ids: list[int] | np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[number], self.sizes[number] = self.used, len(ids)
+        self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without the closing token."""
@@ -103,7 +158,7 @@ class WordTokens:
         number = self.index.__getitem__
         rows = []
         for text in texts:
-            words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            words = _small(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             rows.append(np.fromiter(map(number, words), np.int64, len(words)))
         if self.index.pending:
             self._learn()
