@@ -144,3 +144,13 @@ def test_saved_index_maps_positions_to_ids(spark, workspace):
     query = frame(spark, [[0.0, 0.0]], "query_id", 1)
     hits = search_index(query, load_index(spark, workspace.path("index")), 2).rows
     assert sorted((r["rank"], r.vec_pos, r.chunk_id) for r in hits.collect()) == [(1, 0, 100), (2, 1, 110)]
+
+
+def test_the_greatest_id_is_found_and_a_null_id_refused(spark):
+    asked = frame(spark, np.zeros((1, 2), np.float32), "q")
+    greatest = spark.createDataFrame([(2**63 - 1, [0.0, 0.0]), (1, [1.0, 0.0])], "c long, embedding array<float>")
+    hits = nearest(asked, greatest, 5, query_id="q", corpus_id="c").collect()
+    assert {r["c"] for r in hits} == {1, 2**63 - 1}
+    unknown = greatest.selectExpr("nullif(c, 1) c", "embedding")
+    with pytest.raises(Exception, match="NULL id"):
+        nearest(asked, unknown, 5, query_id="q", corpus_id="c").collect()

@@ -1,7 +1,7 @@
 """Assembling the retrieved rows of each question.
 
 The columns below are aggregates over the hits of one question, which are at
-most k rows.
+most k rows. A missing source or text is shown as nothing; its row stays.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ def context(rank: Column, text: Column) -> Column:
 
 def cited_context(rank: Column, source_file: Column, text: Column) -> Column:
     """Retrieved texts, best first, each led by its source."""
-    cited = F.concat(F.lit("["), source_file, F.lit("] "), text)
+    nothing = F.lit("")
+    source, words = F.coalesce(source_file, nothing), F.coalesce(text, nothing)
+    cited = F.concat(F.lit("["), source, F.lit("] "), words)
     return _in_rank_order(rank, cited, CONTEXT_SEPARATOR)
 
 
 def source_list(rank: Column, source_file: Column) -> Column:
     """The source of every retrieved row, repeats kept, below a heading."""
-    line = F.concat(F.lit("\n- *"), source_file, F.lit("*"))
+    line = F.concat(F.lit("\n- *"), F.coalesce(source_file, F.lit("")), F.lit("*"))
     return F.concat(F.lit(SOURCES_HEADING), _in_rank_order(rank, line, ""))

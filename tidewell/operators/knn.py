@@ -36,7 +36,6 @@ STREAM_BYTES = 1024**3
 # Most reads of the corpus that are preferred to shuffling it.
 MAX_PASSES = 16
 
-_NO_ID = np.iinfo(np.int64).max
 _CORPUS_BLOCK = 4096
 _QUERY_BLOCK = 256
 _EXACT_PAIRS = 16384
@@ -59,6 +58,13 @@ def vector_matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) ->
     return np.asarray(values, dtype=np.float32).reshape(len(lengths), width)
 
 
+def row_ids(column: pa.Array) -> np.ndarray:
+    """Ids of corpus rows; refuses NULL, which no id can stand for."""
+    if column.null_count:
+        raise ValueError("NULL id")
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _squared_norms(matrix: np.ndarray) -> np.ndarray:
     norms = np.einsum("ij,ij->i", matrix, matrix, dtype=np.float64)
     if not np.isfinite(norms).all():
@@ -78,7 +84,7 @@ class RunningTopK:
         self.queries = queries
         self.norms = _squared_norms(queries)
         self.distance = np.full((len(queries), k), np.inf)
-        self.ids = np.full((len(queries), k), _NO_ID, dtype=np.int64)
+        self.ids = np.zeros((len(queries), k), dtype=np.int64)
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for at in range(0, len(ids), _CORPUS_BLOCK):
@@ -154,7 +160,7 @@ class RunningTopK:
 
     def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Query position, rank from 1, id and distance of every kept row."""
-        q_at, place = np.nonzero(self.ids != _NO_ID)
+        q_at, place = np.nonzero(np.isfinite(self.distance))
         return q_at, place + 1, self.ids[q_at, place], self.distance[q_at, place]
 
 
@@ -229,7 +235,7 @@ def _with_few_queries(
             return
         best = RunningTopK(matrix, k)
         for batch in batches:
-            ids = batch.column("_id").to_numpy(zero_copy_only=False)
+            ids = row_ids(batch.column("_id"))
             best.offer(ids, vector_matrix(batch.column("_v"), matrix.shape[1]))
         q_at, _, ids, distance = best.hits()
         columns = [query_ids.take(pa.array(q_at)), pa.array(ids), pa.array(distance)]
@@ -249,7 +255,7 @@ def _with_small_corpus(
         corpus_ids, matrix = sent.value
         if not len(corpus_ids):
             return
-        corpus_ids = corpus_ids.to_numpy(zero_copy_only=False)
+        corpus_ids = row_ids(corpus_ids)
         for batch in batches:
             best = RunningTopK(vector_matrix(batch.column("_v"), matrix.shape[1]), k)
             best.offer(corpus_ids, matrix)
@@ -312,7 +318,7 @@ def _by_cells(
                 query_ids = held_rows["_query"].combine_chunks()
                 best = RunningTopK(vector_matrix(held_rows["_v"]), k)
             rest = batch.slice(first)
-            ids = rest.column("_row").to_numpy(zero_copy_only=False)
+            ids = row_ids(rest.column("_row"))
             best.offer(ids, vector_matrix(rest.column("_v"), best.queries.shape[1]))
         if best is None:
             return

@@ -20,9 +20,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def _split_bytes(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", None)
-    digits = (text or "").lower().removesuffix("b")
-    return int(digits) if digits.isdigit() else 128 * 1024 * 1024
+    """The session's typed setting, so every way of writing a size is understood."""
+    return int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
 def _worth_slots(df: DataFrame, stored: int) -> int:

@@ -32,6 +32,7 @@ from tidewell.sinks.tables import (
 from tidewell.sources.jdbc import measured_split, read_jdbc
 from tidewell.sources.tables import inline_rows, parquet_table, values_view
 from tidewell.streaming.incremental import (
+    DEFAULT_WATERMARK,
     high_watermark,
     incremental_load,
     latest_versions,
@@ -178,7 +179,7 @@ def high_watermarks(spark: SparkSession, folder: str) -> DataFrame:
     ]
     absent = PathTarget(spark, Workspace(spark, "absent").path("none"))
     missing = found[0].select(
-        F.lit(resolve_watermark(absent, "ts")).alias("watermark"),
+        F.lit(resolve_watermark(absent, "ts") or DEFAULT_WATERMARK).alias("watermark"),
         F.lit("missing").alias("table_name"),
     )
     rows = missing
@@ -346,10 +347,11 @@ def knn_l2_top3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_k_exceeds_n(spark: SparkSession, folder: str) -> DataFrame:
-    """For each vector the label examples by distance: more asked for than there are."""
+    """For each vector the label examples by distance: one more asked for than there are."""
     vectors = parquet_table(spark, folder, "embeddings")
+    examples = _label_examples(vectors)
     return nearest(
-        vectors, _label_examples(vectors), 25, query_id="vec_id", corpus_id="label"
+        vectors, examples, examples.count() + 1, query_id="vec_id", corpus_id="label"
     ).drop("l2")
 
 

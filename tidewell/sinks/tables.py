@@ -8,7 +8,8 @@ from tidewell.functions.names import quote
 
 
 def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
-    place = f" LOCATION '{location}'" if location else ""
+    escaped = (location or "").replace("\\", "\\\\").replace("'", "\\'")
+    place = f" LOCATION '{escaped}'" if location else ""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quote(name)}{place}")
 
 
@@ -22,6 +23,17 @@ def replace_table(df: DataFrame, name: str, format: str = "parquet") -> DataFram
     return df.sparkSession.table(name)
 
 
+def _bare(kind: T.DataType) -> T.DataType:
+    """The type with everything inside nullable, as files are read."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_bare(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_bare(kind.keyType), _bare(kind.valueType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _bare(f.dataType), True) for f in kind])
+    return kind
+
+
 def _added_fields(known: T.StructType, batch: T.StructType) -> list[T.StructField]:
     """Fields only the batch has; a changed type is refused, as it would be unreadable."""
     types = {field.name.lower(): field.dataType for field in known}
@@ -30,7 +42,7 @@ def _added_fields(known: T.StructType, batch: T.StructType) -> list[T.StructFiel
         have = types.get(field.name.lower())
         if have is None:
             added.append(field)
-        elif have != field.dataType:
+        elif _bare(have) != _bare(field.dataType):
             raise ValueError(
                 f"column {field.name!r} is {have.simpleString()} in the target "
                 f"but {field.dataType.simpleString()} in the batch"
