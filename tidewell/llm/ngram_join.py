@@ -9,9 +9,9 @@ table of fixed size (any order common to all is right, only speed depends on it)
 2. Write every set's prefix postings. Documents with equal sets are one class,
    represented by its least document.
 3. Keep postings whose shingle several sets share.
-4. Candidates: in each shingle's group, every set with the group's hub. After
-   the length and positional filters they are verified once each, by the suffix
-   filter and then exactly; links give components.
+4. Candidates: in each shingle's group, every set with the group's hub. What the
+   length and positional filters leave is verified once each, by the suffix filter
+   and then exactly; links give components.
 5. A group whose sets are all in one component needs no more. In the others, pairs of
    different components are candidates, again filtered, verified once, and joined in.
 
@@ -238,24 +238,15 @@ def shared_postings(described: DataFrame, workspace: Workspace) -> DataFrame:
     return postings.join(several, "shingle").select("shingle", "id", "n", "place")
 
 
-def _may_link(a: str, b: str) -> str:
-    """SQL of the length filter."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _may_link(n_a: str, place_a: str, n_b: str, place_b: str) -> str:
+    """SQL of the length and positional filters of a match at two places.
 
-
-def _candidates(matches: DataFrame) -> DataFrame:
-    """(a, b) once each, of matches (a, b, n_a, n_b, place_a, place_b), by the positional filter.
-
-    The first shingle that two sets have in common bounds what they share: it and
-    what comes after it in the shorter rest.
+    What two sets have in common from a match on is in the shorter rest. The first match
+    of a pair bounds all they share, and a later one never passes where the first fails;
+    so the filter holds match by match. It implies the length filter.
     """
-    most = "least(n_a - place_a, n_b - place_b)"
-    return (
-        matches.groupBy("a", "b", "n_a", "n_b")
-        .agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-        .where(f"(100 + {PERCENT}) * ({most}) >= {PERCENT} * (n_a + n_b)")
-        .select("a", "b")
-    )
+    rest = f"least({n_a} - {place_a}, {n_b} - {place_b})"
+    return f"{100 + PERCENT} * {rest} >= {PERCENT} * ({n_a} + {n_b})"
 
 
 def hub_candidates(postings: DataFrame, workspace: Workspace) -> DataFrame:
@@ -270,17 +261,9 @@ def hub_candidates(postings: DataFrame, workspace: Workspace) -> DataFrame:
         F.max("id").alias("high"),
     )
     hubs = workspace.stage(hubs.where("low < high").select("shingle", "hub"), "hubs")
-    matches = postings.join(hubs, "shingle").where("id <> hub.id").where(_may_link("n", "hub.n"))
-    return _candidates(
-        matches.selectExpr(
-            "least(id, hub.id) a",
-            "greatest(id, hub.id) b",
-            "if(id < hub.id, n, hub.n) n_a",
-            "if(id < hub.id, hub.n, n) n_b",
-            "if(id < hub.id, place, hub.place) place_a",
-            "if(id < hub.id, hub.place, place) place_b",
-        )
-    )
+    matches = postings.join(hubs, "shingle").where("id <> hub.id")
+    matches = matches.where(_may_link("n", "place", "hub.n", "hub.place"))
+    return matches.selectExpr("least(id, hub.id) a", "greatest(id, hub.id) b").distinct()
 
 
 def open_candidates(postings: DataFrame, parts: DataFrame, workspace: Workspace) -> DataFrame:
@@ -300,14 +283,10 @@ def open_candidates(postings: DataFrame, parts: DataFrame, workspace: Workspace)
         rest.alias("y"),
         F.expr(
             "x.shingle = y.shingle and x.id < y.id and x.component <> y.component and "
-            + _may_link("x.n", "y.n")
+            + _may_link("x.n", "x.place", "y.n", "y.place")
         ),
     )
-    return _candidates(
-        matches.selectExpr(
-            "x.id a", "y.id b", "x.n n_a", "y.n n_b", "x.place place_a", "y.place place_b"
-        )
-    )
+    return matches.selectExpr("x.id a", "y.id b").distinct()
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -330,37 +309,50 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return (100 + PERCENT) * int((b[at] == a).sum()) >= need
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. ``sets`` is (id, shingles), one row an id."""
+def _sets(texts: pa.Array, shingles: Shingler) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted sets of all texts, one after the other, and where each begins and ends."""
+    text, code = shingles(*text_bytes(texts))
+    return code, np.searchsorted(text, np.arange(len(texts) + 1))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. ``texts`` is (id, text), one row an id.
+
+    Texts travel, not sets: a set's hashes are twice as long and don't compress.
+    """
     schema = "a long, b long"
     both = (
-        pairs.join(sets.selectExpr("id a", "shingles left_set"), "a")
-        .join(sets.selectExpr("id b", "shingles right_set"), "b")
-        .select("a", "b", "left_set", "right_set")
+        pairs.join(texts.selectExpr("id a", "text left_text"), "a")
+        .join(texts.selectExpr("id b", "text right_text"), "b")
+        .select("a", "b", "left_text", "right_text")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
         for batch in batches:
-            sides = []
-            for column in (batch.column(2), batch.column(3)):
-                values = column.values.to_numpy().view(np.uint64)
-                sides.append((values, column.offsets.to_numpy()))
-            (one, at), (two, to) = sides
-            good = [
-                linked(one[at[i] : at[i + 1]], two[to[i] : to[i + 1]]) for i in range(len(batch))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            sizes = text_bytes(batch.column(2))[1] + text_bytes(batch.column(3))[1]
+            for first, last in row_blocks(sizes):
+                part, rows = batch.slice(first, last - first), last - first
+                ids = np.concatenate([part.column(0).to_numpy(), part.column(1).to_numpy()])
+                _, one, at = np.unique(ids, return_index=True, return_inverse=True)
+                either = pa.concat_arrays([part.column(2), part.column(3)])
+                code, edges = _sets(either.take(pa.array(one)), shingles)
+                good = [
+                    linked(code[edges[a] : edges[a + 1]], code[edges[b] : edges[b + 1]])
+                    for a, b in zip(at[:rows], at[rows:])
+                ]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, schema)
 
 
-def candidate_sets(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, shingles) of those ``members`` (doc_id, id) that are in ``pairs``, once each.
+def candidate_texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of those ``members`` (id, doc_id, again) that are in ``pairs``, once each.
 
     The members are counted first. Up to ``BROADCAST_ROWS`` of them go to the texts;
-    beyond that the texts are shuffled to them.
+    beyond that the texts are shuffled to them. ``again`` tells that several rows have
+    the doc_id; of those one with the member's set is taken.
     """
-    schema = "id long, shingles array<long>"
     wanted = pairs.selectExpr("explode(array(a, b)) id").distinct().join(members, "id")
     few = wanted.count() <= BROADCAST_ROWS
     side = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
@@ -369,19 +361,18 @@ def candidate_sets(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            for first, last, data, bounds in _each_block(batch, 1):
-                text, code = shingles(data, bounds)
-                edges = np.searchsorted(text, np.arange(last - first + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(code.view(np.int64))),
-                    ],
-                    ["id", "shingles"],
-                )
+            for first, last in row_blocks(text_bytes(batch.column(1))[1]):
+                part = batch.slice(first, last - first)
+                code, edges = _sets(part.column(1), shingles)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(code))])
+                own = np.diff(sums[edges]).view(np.int64) == part.column(0).to_numpy()
+                yield part.filter(pa.array(own))
 
-    found = texts.select("id", "text").mapInArrow(run, schema)
-    return found.dropDuplicates(["id"])
+    once = texts.where("not again").select("id", "text")
+    if members.where("again").isEmpty():
+        return once
+    several = texts.where("again").select("id", "text").mapInArrow(run, "id long, text string")
+    return once.union(several.dropDuplicates(["id"]))
 
 
 def ngram_components(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
@@ -396,19 +387,22 @@ def ngram_components(docs: DataFrame, workspace: Workspace | None = None) -> Dat
     postings = workspace.stage(shared_postings(described, workspace), "postings")
     # Sets whose half fingerprints agree by chance share an id; then none of them
     # is told apart by it, and the class with the least document stands for it.
+    repeated = narrow.groupBy("doc_id").count().where("count > 1")
+    repeated = repeated.select("doc_id", F.lit(True).alias("again"))
     members = classes.groupBy(F.col("set_1").alias("id")).agg(F.min("least").alias("doc_id"))
+    members = members.join(repeated, "doc_id", "left").select(
+        "id", "doc_id", F.coalesce("again", F.lit(False)).alias("again")
+    )
+    members = workspace.stage(members, "members")
     first = workspace.stage(hub_candidates(postings, workspace), "hub-pairs")
-    sets = workspace.stage(candidate_sets(docs, members, first), "hub-sets")
-    links = workspace.stage(verified(first, sets), "hub-links")
+    texts = workspace.stage(candidate_texts(docs, members, first), "hub-texts")
+    links = workspace.stage(verified(first, texts), "hub-links")
     parts = components(links, workspace, "hubs")
     rest = workspace.stage(
         open_candidates(postings, parts, workspace).join(first, ["a", "b"], "left_anti"), "open-pairs"
     )
-    known = sets.select("id")
-    more_sets = workspace.stage(
-        candidate_sets(docs, members.join(known, "id", "left_anti"), rest), "open-sets"
-    )
-    more = workspace.stage(verified(rest, sets.union(more_sets)), "open-links")
+    texts = workspace.stage(candidate_texts(docs, members, rest), "open-texts")
+    more = workspace.stage(verified(rest, texts), "open-links")
     joined = components(links.union(more), workspace, "all")
     least = (
         classes.select(F.col("set_1").alias("id"), "least")
