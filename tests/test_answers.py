@@ -2,7 +2,7 @@ import uuid
 
 import pytest
 
-from tidewell.operators.chatlog import append_exchanges
+from tidewell.operators.chatlog import append_exchanges, new_turns
 from tidewell.plans import agent, faq
 from tidewell.plans.layers import build_layers
 from tidewell.plans.retrieval import retrieve
@@ -108,6 +108,10 @@ def test_several_exchanges_of_one_conversation(spark):
         "conv_id BIGINT, question STRING, answer STRING, exchange_no INT")
     found = append_exchanges(log, more).orderBy("turn").collect()
     assert [(r.turn, r.text) for r in found] == [(4, "x"), (5, "q0"), (6, "a0"), (7, "q1"), (8, "a1")]
+    added = new_turns(log, more).orderBy("turn").collect()
+    assert [r.turn for r in added] == [5, 6, 7, 8]
+    with pytest.raises(ValueError, match="exchange_no"):
+        append_exchanges(log, more.drop("exchange_no"))
 
 
 def test_nearest_entry(spark, questions):

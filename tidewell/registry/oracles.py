@@ -165,11 +165,15 @@ ORACLES: dict[str, str] = {
                CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
         FROM orders""",
     "ingest_incremental": f"""
-        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
                CAST(o_orderdate AS VARCHAR) AS o_orderdate,
                CAST(CASE WHEN o_orderdate <= {_FIRST_LOAD_UNTIL} THEN 1 ELSE 2 END AS BIGINT)
                  AS load_no
         FROM orders WHERE o_orderdate IS NOT NULL""",
+    "ingest_early_dates": """
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+               CAST(o_orderdate - INTERVAL 150 YEAR AS VARCHAR) AS o_orderdate
+        FROM orders WHERE o_orderdate IS NOT NULL AND coalesce(o_orderstatus, '') <> 'F'""",
     "ingest_no_new_rows": """
         SELECT count(ts) AS first_load, CAST(0 AS BIGINT) AS second_load,
                CAST(max(ts) AS VARCHAR) AS second_watermark, count(ts) AS rows_in_target
@@ -283,6 +287,13 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, role, text FROM conversations
         UNION ALL SELECT conv_id, t + 1, 'user', question FROM last
         UNION ALL SELECT conv_id, t + 2, 'assistant', 'Turns so far: ' || n FROM last""",
+    "new_chat_turns": """
+        WITH last AS (
+          SELECT conv_id, max(turn) AS t, arg_max(text, turn) AS question, count(*) AS n
+          FROM conversations GROUP BY conv_id
+        )
+        SELECT conv_id, t + 1 AS turn, 'user' AS role, question AS text FROM last
+        UNION ALL SELECT conv_id, t + 2, 'assistant', 'Turns so far: ' || n FROM last""",
     "policy_nearest": f"""WITH entries AS (
           SELECT * FROM (VALUES {_values(samples.ENTRIES)}) v(id, topic, content)
         ), turns AS (SELECT conv_id || '-' || turn AS id, {_clean("text")} AS t FROM conversations),

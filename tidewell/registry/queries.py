@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions.text import clean_text, preview
 from tidewell.functions.vectors import as_floats
-from tidewell.operators.chatlog import append_exchanges
+from tidewell.operators.chatlog import append_exchanges, new_turns
 from tidewell.operators.chunk import chunk_documents
 from tidewell.operators.embed import embed
 from tidewell.operators.ids import dense_ids, unique_id
@@ -125,9 +125,7 @@ def ingest_jdbc_full(spark: SparkSession, folder: str) -> DataFrame:
 
 def ingest_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Two loads of orders into one table: the earlier dates, then what is new."""
-    orders = parquet_table(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
-    )
+    orders = parquet_table(spark, folder, "orders").select(*ORDER_COLUMNS)
     target = _catalog_target(spark, "orders")
     earlier = orders.where(F.col("o_orderdate") <= F.lit(FIRST_LOAD_UNTIL).cast("timestamp_ntz"))
     incremental_load(earlier.withColumn("load_no", F.lit(1).cast("bigint")), target, "o_orderdate")
@@ -135,6 +133,15 @@ def ingest_incremental(spark: SparkSession, folder: str) -> DataFrame:
     return _as_text(target.read(), "o_orderdate")
 
 
+def ingest_early_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """A first load of orders dated 150 years earlier, the finished ones without a date."""
+    orders = parquet_table(spark, folder, "orders").select(*ORDER_COLUMNS)
+    early = F.expr("if(o_orderstatus = 'F', NULL, o_orderdate - INTERVAL 150 YEARS)")
+    target = _catalog_target(spark, "orders")
+    incremental_load(orders.withColumn("o_orderdate", early), target, "o_orderdate")
+    return _as_text(target.read(), "o_orderdate")
+
+
 def ingest_no_new_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Two loads of all events; the second finds nothing and writes nothing."""
     events = parquet_table(spark, folder, "events")
@@ -333,9 +340,11 @@ def vector_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 def _label_examples(vectors: DataFrame) -> DataFrame:
     """The lowest-numbered vector of every label, written once for repeated use."""
-    first = F.min_by(as_floats(F.col("embedding")), "vec_id").alias("embedding")
-    examples = vectors.groupBy("label").agg(first).withColumn(
-        "label", F.col("label").cast("bigint")
+    # The least id in a hash aggregate; one of the whole vectors would sort them all.
+    first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id")).drop("label")
+    examples = vectors.join(first, "vec_id", "left_semi").select(
+        F.col("label").cast("bigint").alias("label"),
+        as_floats(F.col("embedding")).alias("embedding"),
     )
     return Workspace(vectors.sparkSession, "examples").stage(examples, "labels")
 
@@ -437,14 +446,24 @@ def answer_with_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def append_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation continued by one exchange that repeats its last message."""
-    log = parquet_table(spark, folder, "conversations")
-    exchanges = log.groupBy("conv_id").agg(
+def _closing_exchanges(log: DataFrame) -> DataFrame:
+    """One exchange a conversation, which repeats its last message."""
+    return log.groupBy("conv_id").agg(
         F.max_by("text", "turn").alias("question"),
         F.concat(F.lit("Turns so far: "), F.count(F.lit(1)).cast("string")).alias("answer"),
     )
-    return append_exchanges(log, exchanges)
+
+
+def append_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation continued by one exchange."""
+    log = parquet_table(spark, folder, "conversations")
+    return append_exchanges(log, _closing_exchanges(log))
+
+
+def new_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, but only what a saved log would be given."""
+    log = parquet_table(spark, folder, "conversations")
+    return new_turns(log, _closing_exchanges(log))
 
 
 def policy_nearest(spark: SparkSession, folder: str) -> DataFrame:
@@ -462,6 +481,7 @@ def policy_nearest(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_jdbc_full": ingest_jdbc_full,
     "ingest_incremental": ingest_incremental,
+    "ingest_early_dates": ingest_early_dates,
     "ingest_no_new_rows": ingest_no_new_rows,
     "ingest_inclusive": ingest_inclusive,
     "high_watermark": high_watermarks,
@@ -495,5 +515,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "answer_questions": answer_questions,
     "answer_with_sources": answer_with_sources,
     "append_chat_turns": append_chat_turns,
+    "new_chat_turns": new_chat_turns,
     "policy_nearest": policy_nearest,
 }
