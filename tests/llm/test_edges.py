@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewell.llm import queries
 from tidewell.llm.common import is_held_out
+from tidewell.llm.ngram_join import ngram_components
 
 CLASHING = ["key", "mark", "n", "id", "score", "held_out", "predicted", "spans", "label", "part"]
 
@@ -127,6 +128,16 @@ def test_ngrams(spark, odd):
     assert [found[i]["component_id"] for i in (0, 1, 4, 5, 6, 9)] == [0, 1, 4, 4, 4, 9]
 
 
+def test_ngrams_of_a_repeated_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    docs = spark.createDataFrame(
+        [(5, one), (5, two), (5, one), (3, one + " more")], "doc_id long, text string"
+    )
+    rows = ngram_components(docs).collect()
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows)
+    assert found == [(3, 57, 3), (5, 56, 3), (5, 56, 3), (5, 56, 5)]
+
+
 def test_revisits(spark, odd):
     rows = queries.op1_revisits(spark, odd).collect()
     assert len(rows) == 6
