@@ -8,10 +8,11 @@ table of fixed size (any order common to all is right, only speed depends on it)
 1. Count shingles into the table.
 2. Write every set's prefix postings. Documents with equal sets are one class,
    represented by its least document.
-3. Keep postings whose shingle several sets share.
+3. Keep postings whose shingle several sets share, at places and with sizes that the
+   positional filter allows some pair.
 4. Candidates: in each shingle's group, every set with the group's hub. What the
-   length and positional filters leave is verified once each, by the suffix filter
-   and then exactly; links give components.
+   length, positional and sketch filters leave is verified once each, by the suffix
+   filter and then exactly; links give components.
 5. A group whose sets are all in one component needs no more. In the others, pairs of
    different components are candidates, again filtered, verified once, and joined in.
 
@@ -41,8 +42,16 @@ from tidewell.workspace import Workspace
 # Fixed values of the contract: words in a shingle, least similarity in percent.
 WORDS, PERCENT = 5, 80
 
-# Entries of the count table, and of one row of it while it is summed.
-COUNTED, ROW = 1 << 17, 1 << 8
+# Binary digits of the count table's size, and entries of one row of it while it is summed.
+COUNTED_BITS, ROW = 20, 1 << 12
+COUNTED = 1 << COUNTED_BITS
+
+# Binary digits of the sieve's size in bits, and 64-bit words of one row of it. It is
+# broadcast (8 MiB); where it fills up, more postings pass it.
+SIEVE_BITS, SIEVE_ROW = 26, 1 << 12
+
+# Bits of a set's sketch, a power of two.
+SKETCH_BITS = 512
 
 # Pairs of two longs that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -143,18 +152,14 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
                 table += np.bincount(_entry(code), minlength=COUNTED)
         rows = table.reshape(-1, ROW)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(list(rows), pa.list_(pa.int64()))],
+            [pa.array(np.arange(len(rows), dtype=np.int32)), _lists(rows)],
             ["part", "counts"],
         )
 
     def add(rows: pa.Table) -> pa.Table:
-        counts = np.array(rows["counts"].to_pylist(), np.int64).sum(axis=0)
-        return pa.table(
-            {
-                "part": rows["part"].slice(0, 1),
-                "counts": pa.array([counts], pa.list_(pa.int64())),
-            }
-        )
+        counts = rows["counts"].combine_chunks().flatten().to_numpy().reshape(-1, ROW)
+        summed = _lists(counts.sum(axis=0, keepdims=True))
+        return pa.table({"part": rows["part"].slice(0, 1), "counts": summed})
 
     summed = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
     table = np.zeros(COUNTED, np.int64).reshape(-1, ROW)
@@ -163,8 +168,24 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """Each row of a matrix of 64-bit numbers as a list."""
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel().view(np.int64)))
+
+
 def _entry(code: np.ndarray) -> np.ndarray:
-    return (code >> np.uint64(64 - 17)).astype(np.int64)
+    return (code >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
+
+
+def _sketches(code: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each of ``rows`` sets the parity of its elements in every bucket, as 64-bit numbers.
+
+    Two sets' sketches differ in at most as many bits as elements are in one set only.
+    """
+    bucket = (code >> np.uint64(32)).astype(np.int64) & (SKETCH_BITS - 1)
+    odd = np.bincount(row * SKETCH_BITS + bucket, minlength=rows * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH_BITS), axis=1).view(np.int64)
 
 
 def least_overlap(n: int) -> int:
@@ -173,13 +194,13 @@ def least_overlap(n: int) -> int:
 
 
 def describe_sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(doc_id, n, set_1, set_2, prefix) of every document.
+    """(doc_id, n, set_1, set_2, sketch, prefix) of every document.
 
     ``set_1`` and ``set_2`` are a 128-bit fingerprint of the set. ``prefix`` has the
     rarest shingles, rarest first; it is null for empty sets and, within a batch,
     for all but the first document with an equal set.
     """
-    schema = "doc_id long, n long, set_1 long, set_2 long, prefix array<long>"
+    schema = "doc_id long, n long, set_1 long, set_2 long, sketch array<long>, prefix array<long>"
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,30 +235,15 @@ def describe_sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
                         pa.array(size.astype(np.int64)),
                         pa.array(one),
                         pa.array(two),
+                        _lists(_sketches(again, text, last - first)),
                         pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "set_1", "set_2", "prefix"],
+                    ["doc_id", "n", "set_1", "set_2", "sketch", "prefix"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def shared_postings(described: DataFrame, workspace: Workspace) -> DataFrame:
-    """(shingle, id, n, place) of prefix shingles that several postings have.
-
-    The id is the first half of the set's fingerprint. Most shingles have one posting
-    and take no further part. Those of several are written, which leaves the join free
-    to split a shingle that very many sets share.
-    """
-    postings = described.where("prefix is not null").select(
-        "n", F.col("set_1").alias("id"), F.posexplode("prefix").alias("place", "shingle")
-    )
-    several = workspace.stage(
-        postings.groupBy("shingle").count().where("count > 1").select("shingle"), "several"
-    )
-    return postings.join(several, "shingle").select("shingle", "id", "n", "place")
-
-
 def _may_link(n_a: str, place_a: str, n_b: str, place_b: str) -> str:
     """SQL of the length and positional filters of a match at two places.
 
@@ -249,6 +255,77 @@ def _may_link(n_a: str, place_a: str, n_b: str, place_b: str) -> str:
     return f"{100 + PERCENT} * {rest} >= {PERCENT} * ({n_a} + {n_b})"
 
 
+def sieve(shingles: DataFrame) -> np.ndarray:
+    """Bits of a table of fixed size in which each of the ``shingles`` sets one."""
+    place = f"shiftrightunsigned(shingle, {64 - SIEVE_BITS})"
+    words = shingles.selectExpr(
+        f"shiftright({place}, 6) word", f"shiftleft(1L, cast({place} & 63 as int)) bits"
+    )
+    words = words.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
+    schema = "part long, bits array<long>"
+
+    def pack(rows: pa.Table) -> pa.Table:
+        row = np.zeros((1, SIEVE_ROW), np.int64)
+        row[0, rows["word"].to_numpy() % SIEVE_ROW] = rows["bits"].to_numpy()
+        return pa.table({"part": rows["part"].slice(0, 1), "bits": _lists(row)})
+
+    packed = words.withColumn("part", F.expr(f"word div {SIEVE_ROW}"))
+    table = np.zeros((max(1, (1 << SIEVE_BITS) // 64 // SIEVE_ROW), SIEVE_ROW), np.int64)
+    for part, bits in packed.groupBy("part").applyInArrow(pack, schema).collect():
+        table[part] = bits
+    return table.ravel().view(np.uint64)
+
+
+def sifted_postings(described: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(n, id, shingle, place) of the prefix shingles that the sieve lets pass."""
+    shared = described.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            shingle = lists.flatten().to_numpy()
+            at = shingle.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+            passed = np.flatnonzero((table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            row = np.repeat(np.arange(len(sizes)), sizes)[passed]
+            place = passed - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)),
+                    batch.column(1).take(pa.array(row)),
+                    pa.array(shingle[passed]),
+                    pa.array(place.astype(np.int32)),
+                ],
+                ["n", "id", "shingle", "place"],
+            )
+
+    sets = described.where("prefix is not null").select("n", F.col("set_1").alias("id"), "prefix")
+    return sets.mapInArrow(run, "n long, id long, shingle long, place int")
+
+
+def shared_postings(described: DataFrame, workspace: Workspace) -> DataFrame:
+    """(shingle, id, n, place) of prefix shingles that several postings have.
+
+    The id is the first half of the set's fingerprint. Most shingles have one posting
+    and take no further part. Nor do those of two that the positional filter rules out,
+    and single postings whose own rest is too short for even the smallest set of the
+    group. What stays is written, which leaves the joins free to split a shingle that
+    very many sets share.
+    """
+    postings = described.where("prefix is not null").select("n", F.posexplode("prefix").alias("place", "shingle"))
+    spot = F.expr("shiftleft(n, 32) + place")
+    groups = postings.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("sets"), F.min(spot).alias("low"), F.max(spot).alias("high")
+    )
+    both = _may_link("shiftright(low, 32)", "(low & 4294967295)", "shiftright(high, 32)", "(high & 4294967295)")
+    groups = groups.where(f"sets > 2 or sets = 2 and {both}")
+    several = workspace.stage(groups.selectExpr("shingle", "shiftright(low, 32) least_n"), "several")
+    kept = sifted_postings(described, sieve(several)).join(several, "shingle")
+    kept = kept.where(f"{100 + PERCENT} * (n - place) >= {PERCENT} * (n + least_n)")
+    return kept.select("shingle", "id", "n", "place")
+
+
 def hub_candidates(postings: DataFrame, workspace: Workspace) -> DataFrame:
     """Every set of a shingle's group with the group's hub.
 
@@ -289,6 +366,20 @@ def open_candidates(postings: DataFrame, parts: DataFrame, workspace: Workspace)
     return matches.selectExpr("x.id a", "y.id b").distinct()
 
 
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link. ``sketches`` is (id, n, sketch)."""
+    both = pairs.join(sketches.selectExpr("id a", "n n_a", "sketch sketch_a"), "a").join(
+        sketches.selectExpr("id b", "n n_b", "sketch sketch_b"), "b"
+    )
+    apart = (
+        "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    )
+    # Sets that link have at least PERCENT of (n_a + n_b - shared) in common.
+    return both.where(
+        f"{100 + PERCENT} * (n_a + n_b - {apart}) >= {2 * PERCENT} * (n_a + n_b)"
+    ).select("a", "b")
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     """Most that two sorted sets can have in common, by halving both about one value."""
     if depth == 0 or not len(a) or not len(b):
@@ -394,13 +485,15 @@ def ngram_components(docs: DataFrame, workspace: Workspace | None = None) -> Dat
         "id", "doc_id", F.coalesce("again", F.lit(False)).alias("again")
     )
     members = workspace.stage(members, "members")
+    sketches = described.where("prefix is not null").select(F.col("set_1").alias("id"), "n", "sketch")
+    sketches = workspace.stage(sketches.distinct(), "sketches")
     first = workspace.stage(hub_candidates(postings, workspace), "hub-pairs")
-    texts = workspace.stage(candidate_texts(docs, members, first), "hub-texts")
-    links = workspace.stage(verified(first, texts), "hub-links")
+    near = workspace.stage(alike(first, sketches), "hub-alike")
+    texts = workspace.stage(candidate_texts(docs, members, near), "hub-texts")
+    links = workspace.stage(verified(near, texts), "hub-links")
     parts = components(links, workspace, "hubs")
-    rest = workspace.stage(
-        open_candidates(postings, parts, workspace).join(first, ["a", "b"], "left_anti"), "open-pairs"
-    )
+    rest = open_candidates(postings, parts, workspace).join(first, ["a", "b"], "left_anti")
+    rest = workspace.stage(alike(rest, sketches), "open-pairs")
     texts = workspace.stage(candidate_texts(docs, members, rest), "open-texts")
     more = workspace.stage(verified(rest, texts), "open-links")
     joined = components(links.union(more), workspace, "all")
