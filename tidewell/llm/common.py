@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidewell.workspace import Workspace
 
 # Text bytes a task holds in NumPy form at a time, unless one text is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def scratch(spark: SparkSession, label: str) -> Workspace:

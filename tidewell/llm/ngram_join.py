@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.llm.common import row_blocks, scratch, text_bytes
+from tidewell.llm.common import BLOCK_BYTES, row_blocks, scratch, text_bytes
 from tidewell.llm.components import components
 from tidewell.workspace import Workspace
 
@@ -86,8 +86,8 @@ class Shingler:
     def _word_hashes(self, small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(small)
         if len(self.up) <= n:
-            self.up = _powers(_BASE, 2 * n)
-            self.down = _powers(pow(_BASE, -1, 1 << 64), 2 * n)
+            self.up = _powers(_BASE, max(n, BLOCK_BYTES))
+            self.down = _powers(pow(_BASE, -1, 1 << 64), max(n, BLOCK_BYTES))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[small] * self.up[:n], out=sums[1:])
         codes = (sums[ends] - sums[starts]) * self.down[starts]
@@ -149,7 +149,7 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, _, data, bounds in _each_block(batch, 0):
                 _, code = shingles(data, bounds)
-                table += np.bincount(_entry(code), minlength=COUNTED)
+                np.add.at(table, _entry(code), 1)
         rows = table.reshape(-1, ROW)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(rows), dtype=np.int32)), _lists(rows)],
