@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewell.llm.common import is_held_out, labelled_texts, text_bytes
+from tidewell.llm.common import is_held_out, known_labels, labelled_texts, text_bytes
 
 # Fixed values of the query: held-out fold, threshold of the predicted class.
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.3
@@ -72,13 +72,17 @@ def _convolve(tables: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def train_network(
-    texts: list[str], labels: np.ndarray, epochs: int = 24, seed: int = 17
+    texts: list[str],
+    labels: np.ndarray,
+    epochs: int = 24,
+    seed: int = 17,
+    true_share: float | None = None,
 ) -> ByteNetwork:
     """Fit embedding, filters and combining layer by Adam on cross-entropy.
 
     Only the window that won the pooling of a filter gets a gradient, so the
     backward step costs next to nothing. Classes weigh alike in training and the
-    bias is then moved back to their true shares.
+    bias is then moved to their true shares: ``true_share`` is class 1's, or else the sample's.
     """
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
@@ -142,11 +146,13 @@ def train_network(
                 second[name] += 0.001 * (slope * slope - second[name])
                 grown = np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8
                 params[name] -= rate * first[name] / (1 - 0.9**step) / grown
+    if true_share is None or not 0 < true_share < 1:
+        true_share = share
     return ByteNetwork(
         (params["embed"] @ params["filter"]).astype(np.float32),
         params["bias"].astype(np.float32),
         params["out"],
-        float(params["out_bias"][0]),
+        float(params["out_bias"][0]) + float(np.log(true_share / (1 - true_share))),
     )
 
 
@@ -155,7 +161,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> ByteNetwork:
     texts, marks = labelled_texts(
         docs, labels, "quality", SAMPLE_PER_CLASS, SAMPLE_BYTES, FOLDS, FOLD
     )
-    return train_network(texts, marks)
+    share = known_labels(labels, "quality", FOLDS, FOLD).agg(F.avg("label")).first()[0]
+    return train_network(texts, marks, true_share=share)
 
 
 def quality_score(model: ByteNetwork, text: Column) -> Column:
