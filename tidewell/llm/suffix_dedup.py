@@ -139,25 +139,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"),
-        F.hash("text").bitwiseAND(0xFFFF).alias("mark"),
+        F.xxhash64("text").alias("mark"),
     )
 
 
-# What is told of an anchor in one number, low bits first: the text's mark, how far the
-# anchor is from its first string, how many strings share it, and where the first begins.
-_MARK, _SHIFT, _STRINGS = "place & 65535", "(place >> 16) & 255", "(place >> 24) & 255"
-_START = "place >> 32"
+# What is told of an anchor in one number, low bits first: how far the anchor is from its
+# first string, how many strings share it, and where the first begins.
+_STRINGS, _START = "(place >> 8) & 255", "place >> 16"
 
 
 def anchor_rows(keyed: DataFrame) -> DataFrame:
-    """(digit, code, key, place) of every anchor; the code is the stretch's fingerprint."""
-    schema = "digit long, code long, key long, place long"
+    """(digit, code, key, mark, place) of every anchor; the code is the stretch's fingerprint."""
+    schema = "digit long, code long, key long, mark long, place long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            marks = batch.column("mark").to_numpy().astype(np.int64)
+            marks = batch.column("mark").to_numpy()
             for low, _, data, bounds in _blocks(batch, 1):
                 text, anchor, first, strings = anchors(data, bounds)
                 if not len(first):
@@ -166,15 +165,16 @@ def anchor_rows(keyed: DataFrame) -> DataFrame:
                 shift = anchor - first
                 code = own.of(first, first + strings - 1 + DEPTH)
                 code = mixed(code + (shift * 256 + strings).astype(np.uint64) * _MIX)
-                place = ((first - bounds[text]) << 32) | (strings << 24) | (shift << 16)
+                place = ((first - bounds[text]) << 16) | (strings << 8) | shift
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own.of(anchor, anchor + FIRST).view(np.int64)),
                         pa.array(code.view(np.int64)),
                         pa.array(keys[low + text]),
-                        pa.array(place | marks[low + text]),
+                        pa.array(marks[low + text]),
+                        pa.array(place),
                     ],
-                    ["digit", "code", "key", "place"],
+                    ["digit", "code", "key", "mark", "place"],
                 )
 
     return keyed.select("key", "text", "mark").mapInArrow(run, schema)
@@ -244,13 +244,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(digit, many, hot, key, place, bytes) of the chosen (digit, many, hot, key, place)."""
-    schema = "digit long, many boolean, hot boolean, key long, place long, bytes binary"
-    wanted = chosen.groupBy("key", F.expr(f"cast({_MARK} as int)").alias("mark")).agg(
+    """(digit, many, hot, key, mark, place, bytes) of the chosen (digit, many, hot, key, mark, place)."""
+    schema = "digit long, many boolean, hot boolean, key long, mark long, place long, bytes binary"
+    wanted = chosen.groupBy("key", "mark").agg(
         F.collect_list(F.struct("digit", "many", "hot", "place")).alias("list")
     )
     texts = _where_marked(keyed, _marked_keys(chosen))[0]
-    joined = texts.join(wanted.hint("shuffle_hash"), ["key", "mark"]).select("key", "text", "list")
+    joined = texts.join(wanted.hint("shuffle_hash"), ["key", "mark"])
+    joined = joined.select("key", "mark", "text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,8 +260,8 @@ def stretches(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
             items = lists.flatten()
             place = items.field("place").to_numpy()
-            first = bounds[row] + (place >> 32)
-            size = ((place >> 24) & 255) + DEPTH - 1
+            first = bounds[row] + (place >> 16)
+            size = ((place >> 8) & 255) + DEPTH - 1
             whole = data.tobytes()
             for at in range(0, len(row), 4096):
                 part = slice(at, at + 4096)
@@ -268,27 +269,27 @@ def stretches(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(items.field(c)[part] for c in ("digit", "many", "hot")),
-                        batch.column("key").take(pa.array(row[part])),
+                        *(batch.column(c).take(pa.array(row[part])) for c in ("key", "mark")),
                         items.field("place")[part],
                         pa.array(cut, pa.binary()),
                     ],
-                    ["digit", "many", "hot", "key", "place", "bytes"],
+                    ["digit", "many", "hot", "key", "mark", "place", "bytes"],
                 )
 
     return joined.mapInArrow(run, schema)
 
 
-RUNS = "key long, mark int, first long, last long"
+RUNS = "key long, mark long, first long, last long"
 
 
 def _strings_of(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Bytes of all stretches, and of each string: its row, begin, and distance to its anchor."""
     data, bounds = text_bytes(rows["bytes"].cast(pa.large_binary()).combine_chunks())
     place = rows["place"].to_numpy()
-    number = (place >> 24) & 255
+    number = (place >> 8) & 255
     row = np.repeat(np.arange(len(place)), number)
     index = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-    return data, row, bounds[row] + index, ((place >> 16) & 255)[row] - index, index
+    return data, row, bounds[row] + index, (place & 255)[row] - index, index
 
 
 def sorted_groups(rows: DataFrame) -> DataFrame:
@@ -299,7 +300,8 @@ def sorted_groups(rows: DataFrame) -> DataFrame:
         digit = table["digit"].to_numpy()
         group = np.cumsum(np.concatenate([[0], digit[1:] != digit[:-1]]))[row] * 256 + distance
         again = survivors(data, begin, group)
-        keys, place = table["key"].to_numpy(), table["place"].to_numpy()
+        keys, marks = table["key"].to_numpy(), table["mark"].to_numpy()
+        place = table["place"].to_numpy()
         again &= ~table["many"].to_numpy(zero_copy_only=False)[row]
         # A run never goes on from one stretch to the next.
         cut = np.concatenate([[False], row[1:] != row[:-1]])
@@ -308,11 +310,11 @@ def sorted_groups(rows: DataFrame) -> DataFrame:
         a, b = _runs(spaced)
         a, b = origin[a], origin[b - 1]
         own = row[a]
-        start = place[own] >> 32
+        start = place[own] >> 16
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(keys[own]),
-                pa.array((place[own] & 65535).astype(np.int32)),
+                pa.array(marks[own]),
                 pa.array(start + index[a]),
                 pa.array(start + index[b]),
             ],
@@ -339,12 +341,12 @@ def sorted_groups(rows: DataFrame) -> DataFrame:
 
 
 def divided(rows: DataFrame) -> DataFrame:
-    """(digit, code, many, key, place, bytes) of the parts of the stretches of groups of many.
+    """(digit, code, many, key, mark, place, bytes) of the parts of the stretches of groups of many.
 
     A part is up to ``PART`` strings at fixed distances from the anchor. Its digit is
     the bytes that all of them have, its code the whole of it.
     """
-    schema = "digit long, code long, many boolean, key long, place long, bytes binary"
+    schema = "digit long, code long, many boolean, key long, mark long, place long, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
@@ -369,19 +371,19 @@ def divided(rows: DataFrame) -> DataFrame:
                 code = own.of(start, end)
                 code = mixed(code + (distance[first] * 256 + number).astype(np.uint64) * _MIX)
                 place = table["place"].to_numpy()[row[first]]
-                begins = (place >> 32) + index[first]
-                place = (begins << 32) | (number << 24) | (distance[first] << 16) | (place & 65535)
+                begins = (place >> 16) + index[first]
+                place = (begins << 16) | (number << 8) | distance[first]
+                take = pa.array(row[first])
                 whole = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(digit.view(np.int64)),
                         pa.array(code.view(np.int64)),
-                        table["many"].combine_chunks().take(pa.array(row[first])),
-                        table["key"].combine_chunks().take(pa.array(row[first])),
+                        *(table[c].combine_chunks().take(take) for c in ("many", "key", "mark")),
                         pa.array(place),
                         pa.array([whole[a:b] for a, b in zip(start, end)], pa.binary()),
                     ],
-                    ["digit", "code", "many", "key", "place", "bytes"],
+                    ["digit", "code", "many", "key", "mark", "place", "bytes"],
                 )
 
     return rows.where("hot").mapInArrow(run, schema)
@@ -393,25 +395,25 @@ def divided_runs(read: DataFrame, workspace: Workspace) -> DataFrame:
     kinds = workspace.stage(
         parts.groupBy("digit", "code").agg(
             F.expr("count(*) > 1 or bool_or(many)").alias("again"),
-            F.min(F.struct("key", "place")).alias("one"),
+            F.min(F.struct("key", "mark", "place")).alias("one"),
         ),
         "part-kinds",
     )
     copies = parts.where("not many").join(kinds.where("again"), ["digit", "code"]).selectExpr(
-        "key", f"cast({_MARK} as int) mark", f"{_START} first", f"({_START}) + ({_STRINGS}) - 1 last"
+        "key", "mark", f"{_START} first", f"({_START}) + ({_STRINGS}) - 1 last"
     )
     number = kinds.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     chosen = workspace.stage(kinds.join(number, "digit"), "part-chosen")
     rest = parts.join(chosen, ["digit", "code"]).where(
-        "key = one.key and place = one.place"
+        "key = one.key and mark = one.mark and place = one.place"
     )
-    strings = spread_strings(rest.select(F.col("again").alias("many"), "key", "place", "bytes"))
+    strings = spread_strings(rest.select(F.col("again").alias("many"), "key", "mark", "place", "bytes"))
     return copies.union(counted_strings(workspace.stage(strings, "strings")))
 
 
 def spread_strings(rows: DataFrame) -> DataFrame:
-    """(one, two, many, key, place, at) of every string of the rows, by fingerprint."""
-    schema = "one long, two long, many boolean, key long, place long, at int"
+    """(one, two, many, key, mark, place, at) of every string of the rows, by fingerprint."""
+    schema = "one long, two long, many boolean, key long, mark long, place long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints()
@@ -431,10 +433,10 @@ def spread_strings(rows: DataFrame) -> DataFrame:
                     [
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
-                        *(table[c].combine_chunks().take(take) for c in ("many", "key", "place")),
+                        *(table[c].combine_chunks().take(take) for c in ("many", "key", "mark", "place")),
                         pa.array(index.astype(np.int32)),
                     ],
-                    ["one", "two", "many", "key", "place", "at"],
+                    ["one", "two", "many", "key", "mark", "place", "at"],
                 )
 
     return rows.mapInArrow(run, schema)
@@ -451,7 +453,7 @@ def counted_strings(strings: DataFrame) -> DataFrame:
     return (
         strings.where("not many")
         .join(again, ["one", "two"])
-        .selectExpr("key", f"cast({_MARK} as int) mark", f"({_START}) + at first", f"({_START}) + at last")
+        .selectExpr("key", "mark", f"({_START}) + at first", f"({_START}) + at last")
     )
 
 
@@ -517,18 +519,18 @@ def remove_repeats(docs: DataFrame, workspace: Workspace | None = None) -> DataF
     )
     left = workspace.stage(every.join(several, "digit"), "first-digit")
     kinds = left.groupBy("digit", "code").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("one")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "mark", "place")).alias("one")
     )
     kinds = workspace.stage(kinds, "stretches")
     number = kinds.groupBy("digit").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     chosen = workspace.stage(
         kinds.join(number, "digit").selectExpr(
-            "digit", "n > 1 many", f"kinds > {FEW} hot", "one.key key", "one.place place"
+            "digit", "n > 1 many", f"kinds > {FEW} hot", "one.key key", "one.mark mark", "one.place place"
         ),
         "chosen",
     )
     copies = left.join(kinds.where("n > 1").select("digit", "code"), ["digit", "code"]).selectExpr(
-        "key", f"cast({_MARK} as int) mark", f"{_START} first", f"({_START}) + ({_STRINGS}) - 1 last"
+        "key", "mark", f"{_START} first", f"({_START}) + ({_STRINGS}) - 1 last"
     )
     read = workspace.stage(stretches(keyed, chosen), "read")
     runs = copies.union(sorted_groups(read)).union(divided_runs(read, workspace))
