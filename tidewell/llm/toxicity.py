@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Terms (words and word beginnings) that stand out in the labelled training sample
-form lexicons; each lexicon, and a few patterns, is a voter. A generative label
+form lexicons; every voter is a count of such terms against a bound, none a pattern. A generative label
 model, fitted by expectation maximisation to the voters' answers on a sample whose
 labels it never sees, estimates how each voter answers in either class and how far
 voters repeat each other; a voter that repeats others counts for less. A linear
