@@ -79,8 +79,7 @@ def test_heavy_prefixes_small_blocks_and_many_partitions(spark, rows, monkeypatc
 
 
 def test_a_full_sieve_prunes_nothing_and_loses_nothing(spark, rows, monkeypatch):
-    for name in ("LEAST_SLOTS", "MOST_SLOTS"):
-        monkeypatch.setattr(col, name, 32)
+    monkeypatch.setattr(col, "SLOTS", 32)
     assert got(frame(spark, rows), 20) == expected(rows, 20)
 
 

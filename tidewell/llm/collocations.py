@@ -10,8 +10,9 @@ phrases together, and the size of an equal partition is the count of a phrase.
    count): other suffixes are abandoned before anything is shuffled. The route tells which
    leading words are so frequent that one task should not have all of their suffixes.
 2. Suffixes go to partitions by their leading pair; those of a heavy pair by three leading
-   words, of a heavy triple by four, and so on. Equal suffixes of a block are one row with
-   a count, so a passage that a third of all documents share costs a row a block.
+   words, of a heavy triple by four, and so on. Equal suffixes of a block are one line with
+   a count, so a passage that a third of all documents share costs a line a block. A
+   block's lines for a partition travel sorted, as one compressed row.
 3. Each partition is sorted by multikey three-way quicksort over pointers: a pivot word
    parts the pointers into less, equal and greater; equal ones go on with the next word. A
    partition that weighs less than ``least`` is abandoned at once. The count of a heavy
@@ -19,10 +20,11 @@ phrases together, and the size of an equal partition is the count of a phrase.
 4. The phrases found are a small table. Parts' counts are joined to every cut, phrases
    that a longer one covers are dropped, the rest are ranked.
 
-The sieve's size follows the input's bytes up to ``MOST_SLOTS`` (2 MiB as bits). Beyond
-some five GB it tells less apart, and more suffixes are shuffled: a row for each distinct
-suffix of a block. Counts don't depend on it. Phrases are compared as strings, not as
-fingerprints, but for the merging of equal suffixes in a block (64 bits).
+The sieve has a fixed size (``SLOTS``), so that what tasks send grows with their number
+alone. On larger inputs it tells less apart, as fewer pairs are rare there, and more
+suffixes are shuffled: at most a line for each distinct suffix of a block. Counts don't
+depend on it. Phrases are compared as strings, not as fingerprints, but for the merging of
+equal suffixes in a block (64 bits).
 
 Edge cases: null and empty texts have no words; a null language counts as ``und``; texts
 longer than a block are cut between pieces, so any length goes; repeated rows count again
@@ -50,14 +52,14 @@ LONGEST, LEAST, KEEP = 5, 100, 2000
 # Text bytes whose suffixes a task holds at a time, unless one piece is longer.
 BLOCK_BYTES = 8 << 20
 
-# Text bytes for one slot of the sieve; its least and greatest number of slots.
-BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 192, 1 << 18, 1 << 24
+# Slots of the sieve, for pairs; words have a quarter as many.
+SLOTS = 1 << 21
 
 # Occurrences from which a leading phrase is heavy; slots of the route tables at most.
 HEAVY, MOST_ROUTES = 500_000, 1 << 20
 
 # Text bytes whose suffixes one partition sorts, about.
-PARTITION_BYTES = 12 << 20
+PARTITION_BYTES = 24 << 20
 
 # Languages whose word totals may be broadcast.
 BROADCAST_LANGUAGES = 10_000
@@ -71,8 +73,9 @@ _FOLD = bytes.maketrans(
 )
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROUTE_DEPTHS = (2, 3, 4)
+_FIELDS = ["lang", "phrase", "words", "exact", "n"]
 
-SUFFIXES = "lang string, phrase binary, words int, exact int, n long, route long"
+SUFFIXES = "part int, lang string, lines binary"
 COUNTS = "lang string, phrase binary, words int, n long"
 
 
@@ -192,10 +195,7 @@ def count_tables(docs: DataFrame, text_bytes: int, partitions: int, least: int)
     holds more than its share of one table. The driver gets the bits alone.
     """
     heavy = max(HEAVY, 2 * text_bytes // MOST_ROUTES)
-    tables = Tables(
-        _sized(text_bytes // BYTES_A_SLOT, LEAST_SLOTS, MOST_SLOTS),
-        _sized(2 * text_bytes // heavy, 1 << 12, MOST_ROUTES),
-    )
+    tables = Tables(SLOTS, _sized(2 * text_bytes // heavy, 1 << 12, MOST_ROUTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, values in tables.count(batches):
@@ -203,7 +203,8 @@ def count_tables(docs: DataFrame, text_bytes: int, partitions: int, least: int)
             for at in range(0, len(raw), _SLICE):
                 part = raw[at : at + _SLICE]
                 if part.count(0) < len(part):
-                    columns = [pa.array([name]), pa.array([at // _SLICE]), pa.array([part])]
+                    packed = zlib.compress(part, 1)
+                    columns = [pa.array([name]), pa.array([at // _SLICE]), pa.array([packed])]
                     yield pa.RecordBatch.from_arrays(columns, ["name", "slice", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def count_tables(docs: DataFrame, text_bytes: int, partitions: int, least: int)
         for batch in batches:
             for name, part, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 kind = np.uint8 if name in ("word", "pair") else np.uint32
-                values = np.frombuffer(raw, kind).astype(np.int64)
+                values = np.frombuffer(zlib.decompress(raw), kind).astype(np.int64)
                 old = sums.get((name, part))
                 sums[name, part] = values if old is None else np.add(old, values, out=old)
         for (name, part), values in sums.items():
@@ -235,11 +236,13 @@ def count_tables(docs: DataFrame, text_bytes: int, partitions: int, least: int)
     return tables
 
 
-def _suffix_rows(block: Block, tables: Tables) -> pa.RecordBatch:
-    """Suffixes whose leading pair may be frequent, frequent words, and the number of words.
+def _suffix_rows(block: Block, tables: Tables, partitions: int) -> pa.RecordBatch:
+    """Lines (phrase, count, exact) for each partition and language, packed.
 
-    A suffix ends where a pair is met that can't be frequent. ``exact`` is the number of
-    leading words from which on all equal suffixes go to one partition.
+    Lines are the suffixes whose leading pair may be frequent, frequent words, and, as the
+    phrase ``.``, the number of words. A suffix ends where a pair is met that can't be
+    frequent. ``exact`` is the number of leading words from which on all equal suffixes
+    go to one partition.
     """
     places = block.places(2)
     pairs = np.zeros(len(block.ids) + LONGEST, bool)
@@ -270,13 +273,6 @@ def _suffix_rows(block: Block, tables: Tables) -> pa.RecordBatch:
         settled = np.flatnonzero(still)[light]
         route[settled], exact[settled] = hashes[light], words
         still[settled] = False
-    vocabulary = pa.array(block.vocabulary, pa.binary())
-    columns = []
-    for i in range(LONGEST):
-        ids = pa.array(block.ids[starts + i], mask=depth <= i)
-        columns.append(vocabulary.take(ids))
-    phrases = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()), null_handling="skip")
-
     ones = block.places(1)
     hashes = block.leading(ones, 1)
     kept = tables.has("word", hashes)
@@ -288,22 +284,60 @@ def _suffix_rows(block: Block, tables: Tables) -> pa.RecordBatch:
     word_route = mixed(block.seed[word_lang] ^ block.word_hash[word])
     n = np.bincount(block.lang[ones], minlength=len(block.languages))
 
+    none = np.zeros(len(n), np.int64)
+    words = [np.concatenate([block.ids[starts + i] * (depth > i), 0 * word, none]) for i in range(LONGEST)]
+    words[0][len(starts) :][: len(word)] = word
     langs = np.concatenate([block.lang[starts], word_lang, np.arange(len(n))])
-    none = pa.nulls(len(n), pa.binary())
-    lengths = [depth, np.ones(len(word), np.int64), np.zeros(len(n), np.int64)]
+    counts = np.concatenate([counts, total, n])
+    exact = np.concatenate([exact, np.ones(len(word), np.int64), none])
+    part = np.concatenate([route, word_route, block.seed]) % np.uint64(partitions)
+    order = np.lexsort((*words[::-1], langs, part))
+    return _packed(block, part[order], langs[order], [w[order] for w in words], counts[order], exact[order])
+
+
+def _packed(
+    block: Block, part: np.ndarray, langs: np.ndarray, words: list[np.ndarray], counts: np.ndarray, exact: np.ndarray
+) -> pa.RecordBatch:
+    """Sorted lines, joined and compressed for each partition and language."""
+    vocabulary = pa.array(block.vocabulary, pa.binary())
+    # The first word is never left out: a total's is the mark that stands for breaks.
+    columns = [vocabulary.take(pa.array(ids, mask=(ids == 0) & (i > 0))) for i, ids in enumerate(words)]
+    space, tab = (pa.scalar(mark, pa.binary()) for mark in (b" ", b"\t"))
+    phrases = pc.binary_join_element_wise(*columns, space, null_handling="skip")
+    numbers = [pa.array(x).cast(pa.string()).cast(pa.binary()) for x in (counts, exact)]
+    lines = pc.binary_join_element_wise(phrases, *numbers, tab)
+    edges = np.flatnonzero(np.diff(part, prepend=part[:1]) | np.diff(langs, prepend=langs[:1]).astype(bool))
+    edges = np.concatenate([[0], edges]) if len(part) else edges
+    ends = pa.array(np.append(edges, len(part)).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, lines), b"\n")
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(block.languages, pa.string()).take(pa.array(langs)),
-            pa.concat_arrays([phrases, vocabulary.take(pa.array(word)), none]),
-            pa.array(np.concatenate(lengths), pa.int32()),
-            pa.array(np.concatenate([exact, *lengths[1:]]), pa.int32()),
-            pa.array(np.concatenate([counts, total, n]), pa.int64()),
-            pa.array(np.concatenate([route, word_route, block.seed]).view(np.int64)),
+            pa.array(part[edges].astype(np.int32)),
+            pa.array(block.languages, pa.string()).take(pa.array(langs[edges])),
+            pa.array([zlib.compress(text, 1) for text in joined.to_pylist()], pa.binary()),
         ],
-        ["lang", "phrase", "words", "exact", "n", "route"],
+        ["part", "lang", "lines"],
     )
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    """(lang, phrase, words, exact, n) of packed lines."""
+    parts = []
+    for batch in batches:
+        for lang, packed in zip(batch["lang"].to_pylist(), batch["lines"].to_pylist()):
+            lines = pa.array(zlib.decompress(packed).split(b"\n"), pa.binary())
+            fields = pc.split_pattern(lines, b"\t").flatten()
+            n, exact = (
+                fields.take(pa.array(np.arange(i, len(fields), 3))).cast(pa.string()).cast(pa.int64())
+                for i in (1, 2)
+            )
+            phrase = fields.take(pa.array(np.arange(0, len(fields), 3)))
+            words = pc.add(pc.count_substring(phrase, b" "), 1).cast(pa.int32())
+            words = pc.if_else(pc.equal(phrase, pa.scalar(b".", pa.binary())), pa.scalar(0, pa.int32()), words)
+            parts.append(pa.table([pa.repeat(lang, len(phrase)), phrase, words, exact, n], _FIELDS))
+    return pa.concat_tables(parts).combine_chunks() if parts else pa.table([[]] * 5, _FIELDS)
+
+
 def frequent_prefixes(
     keys: list[np.ndarray], weight: np.ndarray, exact: np.ndarray, least: int
 ) -> Iterator[tuple[int, int, int]]:
@@ -340,16 +374,15 @@ def frequent_prefixes(
 
 def _sorted_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases, words and totals of one partition."""
-    parts = list(batches)
-    if not parts:
+    rows = _unpacked(batches)
+    if not rows.num_rows:
         return
-    rows = pa.Table.from_batches(parts).drop_columns(["route"])
     short = rows.filter(pc.less(rows["words"], 2))
     if short.num_rows:
         short = short.group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
         short = short.filter(pc.or_(pc.equal(short["words"], 0), pc.greater_equal(short["n_sum"], least)))
-        names = ["lang", "phrase", "words", "n_sum"]
-        yield from short.select(names).rename_columns(["lang", "phrase", "words", "n"]).to_batches()
+        short = short.select(["lang", "phrase", "words", "n_sum"])
+        yield from short.rename_columns(["lang", "phrase", "words", "n"]).to_batches()
     rows = rows.filter(pc.greater_equal(rows["words"], 2)).combine_chunks()
     if not rows.num_rows:
         return
@@ -389,12 +422,13 @@ def phrase_counts(docs: DataFrame, workspace: Workspace, least: int = LEAST) ->
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield _suffix_rows(block, tables)
+            yield _suffix_rows(block, tables, partitions)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _sorted_counts(batches, least)
 
-    shares = rows.mapInArrow(suffixes, SUFFIXES).repartition(partitions, "route").mapInArrow(sort, COUNTS)
+    packed = rows.mapInArrow(suffixes, SUFFIXES)
+    shares = packed.repartitionById(partitions, "part").mapInArrow(sort, COUNTS)
     whole = (
         shares.groupBy("lang", "phrase", "words")
         .agg(F.sum("n").alias("n"))
