@@ -33,7 +33,8 @@ from tidewell.workspace import Workspace
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 
-# Words a worker remembers, and their bytes; beyond either it starts anew.
+# Words a task remembers, and their bytes; beyond either it starts anew. Nothing is kept
+# when the task ends, as the worker goes on with other stages.
 KNOWN_WORDS, KNOWN_BYTES = 900_000, 64 << 20
 
 # Branch and bound stops with the incumbent after so many nodes; a node tries so many
@@ -89,9 +90,10 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Give up the words met so far; the tokenizer itself stays."""
         self.index = _Index()
         self.bytes = 0
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -154,7 +156,7 @@ class WordTokens:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without the closing token."""
         if len(self.index) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
-            self._reset()
+            self.forget()
         number = self.index.__getitem__
         rows = []
         for text in texts:
@@ -185,22 +187,26 @@ def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [field.split()[0] for field in PIECES.split(", ")]
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            _, bounds = text_bytes(batch.column(1))
-            for first, last in row_blocks(bounds):
-                texts = batch.column(1).slice(first, last - first).to_pylist()
-                rows = []
-                for key, ids in zip(keys[first:last], tokens().encode(texts)):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), CAPACITY)):
-                        part = ids[start : start + CAPACITY]
-                        rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes())))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names
-                )
+        known = tokens()
+        try:
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                _, bounds = text_bytes(batch.column(1))
+                for first, last in row_blocks(bounds):
+                    texts = batch.column(1).slice(first, last - first).to_pylist()
+                    rows = []
+                    for key, ids in zip(keys[first:last], known.encode(texts)):
+                        ids = np.append(ids, np.uint32(END)).astype("<u4")
+                        for piece, start in enumerate(range(0, len(ids), CAPACITY)):
+                            part = ids[start : start + CAPACITY]
+                            rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes())))
+                    columns = list(zip(*rows))
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(columns, kinds)], names
+                    )
+        finally:
+            known.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
