@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,31 @@ from tidewell.workspace import Workspace
 BLOCK_BYTES = 1 << 18
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Clears, at its end, every workspace that ``scratch`` gave out in it.
+
+    For results that have been written elsewhere by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for workspace in _scopes.pop():
+            workspace.clear()
+
+
 def scratch(spark: SparkSession, label: str) -> Workspace:
     """A workspace under the cluster's shared folder, removed when the driver's Python ends.
 
-    Results read from it lazily, so it can't go earlier by itself.
+    Results read from it lazily, so it can't go earlier by itself, but in a ``scratch_scope``.
     """
     workspace = Workspace(spark, label)
+    if _scopes:
+        _scopes[-1].append(workspace)
 
     def clear() -> None:
         with contextlib.suppress(Exception):
@@ -61,6 +80,14 @@ def row_blocks(bounds: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[in
         first = last
 
 
+def by_blocks(
+    function: Callable[[pa.Array], pa.Array], texts: pa.Array, kind: pa.DataType
+) -> pa.Array:
+    """``function`` of all texts, a block at a time, so few are Python strings at once."""
+    parts = [function(texts.slice(a, b - a)) for a, b in row_blocks(text_bytes(texts)[1])]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def is_held_out(key: str, folds: int, fold: int) -> Column:
     """Whether the CRC-32 of the key's decimal text leaves ``fold`` modulo ``folds``."""
     crc = F.crc32(F.col(key).cast("string").cast("binary"))
