@@ -161,7 +161,23 @@ def test_pipeline(spark, odd, empty):
         assert got.columns == docs.columns, name
         got.collect()
     assert {r[0] for r in corpus_pipeline.keep_distinct(spark, docs, odd).select("doc_id").collect()} == {0, 1, 2, 3, 4, 8, 9, None}
+    assert 0 < len(corpus_pipeline.run(spark, odd).collect())
     clean = corpus_pipeline.redact_secrets(spark, docs, odd).where("doc_id = 8").first()
     assert clean["text"] == "[SECRET]\"" or clean["text"].startswith("[SECRET]")
     assert clean["n_chars"] == len(clean["text"])
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted((tuple(r) for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()), key=repr)
+
+
+def test_distinct_rows_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    more = a + " more"
+    assert kept(spark, [(3, a), (7, more), (7, b)]) == [(3, a), (7, b)]
+    assert len(kept(spark, [(3, a), (3, more)])) == 1
+    assert kept(spark, [(None, a), (None, a)]) == [(None, a)]
+    assert kept(spark, [(None, a), (None, b), (9, more)]) == [(9, more), (None, b)]
+    assert kept(spark, [(1, ""), (1, ""), (None, None), (2, a), (2, a)]) == [(1, ""), (1, ""), (2, a), (None, None)]

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.llm.common import BLOCK_BYTES, row_blocks, scratch, text_bytes
 from tidewell.llm.components import components
@@ -442,7 +442,8 @@ def candidate_texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> Da
 
     The members are counted first. Up to ``BROADCAST_ROWS`` of them go to the texts;
     beyond that the texts are shuffled to them. ``again`` tells that several rows have
-    the doc_id; of those one with the member's set is taken.
+    the doc_id; of those one with the member's set is taken. Rows without doc_id are found by
+    their sets.
     """
     wanted = pairs.selectExpr("explode(array(a, b)) id").distinct().join(members, "id")
     few = wanted.count() <= BROADCAST_ROWS
@@ -460,14 +461,50 @@ def candidate_texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> Da
                 yield part.filter(pa.array(own))
 
     once = texts.where("not again").select("id", "text")
+    nameless = wanted.where("doc_id is null").select("id")
+    if not nameless.isEmpty():
+        found = docs.where("doc_id is null").select(set_fingerprint(F.col("text")).alias("own"), "text")
+        found = found.select(F.col("own.set_1").alias("id"), "text").join(nameless, "id", "left_semi")
+        once = once.union(found.dropDuplicates(["id"]))
     if members.where("again").isEmpty():
         return once
     several = texts.where("again").select("id", "text").mapInArrow(run, "id long, text string")
     return once.union(several.dropDuplicates(["id"]))
 
 
+def set_fingerprint(text: Column) -> Column:
+    """struct<n, set_1, set_2> of a text's set: its size and a fingerprint of 128 bits."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        shingles, parts = Shingler(), []
+        data, bounds = text_bytes(texts)
+        for first, last in row_blocks(bounds):
+            own = bounds[first : last + 1]
+            text, code = shingles(data[own[0] : own[-1]], own - own[0])
+            edges = np.searchsorted(text, np.arange(last - first + 1))
+            sums = [np.zeros(len(code) + 1, np.uint64) for _ in range(2)]
+            np.cumsum(mixed(code), out=sums[0][1:])
+            np.cumsum(mixed(code ^ _STEP), out=sums[1][1:])
+            columns = [np.diff(edges).astype(np.int64), *(np.diff(x[edges]).view(np.int64) for x in sums)]
+            parts.append(pa.StructArray.from_arrays(list(map(pa.array, columns)), ["n", "set_1", "set_2"]))
+        kind = pa.struct([(name, pa.int64()) for name in ("n", "set_1", "set_2")])
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return F.arrow_udf(run, "struct<n: bigint, set_1: bigint, set_2: bigint>")(text)
+
+
 def ngram_components(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    placed = placed_sets(docs, workspace)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def placed_sets(docs: DataFrame, workspace: Workspace | None = None) -> DataFrame:
+    """(doc_id, n, set_1, set_2, component, component_id) of every document.
+
+    ``set_1`` and ``set_2`` tell sets apart, ``component`` tells components apart, even where
+    ids are null or repeat. Empty sets have none of their own.
+    """
     workspace = workspace or scratch(docs.sparkSession, "ngrams")
     described = workspace.stage(describe_sets(docs, count_shingles(docs)), "described")
     narrow = described.select("doc_id", "n", "set_1", "set_2")
@@ -504,11 +541,14 @@ def ngram_components(docs: DataFrame, workspace: Workspace | None = None) -> Dat
         .agg(F.min("least").alias("component_id"))
     )
     placed = joined.select(F.col("node").alias("set_1"), "component").join(least, "component")
-    named = classes.join(placed.select("set_1", "component_id"), "set_1", "left").select(
-        "n", "set_1", "set_2", F.coalesce("component_id", "least").alias("component_id")
+    named = classes.join(placed, "set_1", "left").select(
+        "n",
+        "set_1",
+        "set_2",
+        F.coalesce("component", "set_1").alias("component"),
+        F.coalesce("component_id", "least").alias("component_id"),
     )
     return narrow.join(named, ["n", "set_1", "set_2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
+        "doc_id", "n", "set_1", "set_2", "component",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
+    )
