@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.operators.chunk import chunk_documents, chunks, split_text
+from tidewell.operators.chunk import _intervals, chunk_documents, chunks, split_text
 
 WORDS = " ".join(f"w{i:03d}" for i in range(200))
 
@@ -74,17 +74,24 @@ def test_same_as_the_stated_rules(text, size, overlap):
     assert split_text(text, size, overlap) == stated_rules(text, size, overlap)
 
 
+def covered_by_intervals(text):
+    at = 0
+    for lo, hi in _intervals(text, 50, 10):
+        assert lo < hi and hi - lo <= 50 and not text[at:lo].strip(" ")
+        assert at - lo <= 10
+        at = hi
+    assert not text[at:].strip(" ")
+
+
 @settings(max_examples=200, deadline=None, database=None)
 @given(words)
 def test_chunks_are_short_and_cover_every_word(text):
-    found = split_text(text, 50, 10)
-    assert all(0 < len(c) <= 50 for c in found)
-    at = 0
-    for chunk in found:
-        start = text.find(chunk, max(0, at - 11))
-        assert 0 <= start and not text[at:start].strip(" ")
-        at = max(at, start + len(chunk))
-    assert not text[at:].strip(" ")
+    covered_by_intervals(text)
+    assert all(0 < len(c) <= 50 for c in split_text(text, 50, 10))
+
+
+def test_equal_stretches_are_told_apart():
+    covered_by_intervals("a a a a a a a aaa aaaa a aaaaaaa aaaaaaaaaaaaaaaaaa aaaaaaaaaaaaaaaaaaa a")
 
 
 def test_column_drops_empty_documents(spark):
