@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm.common import scratch
+from tidewell.llm.common import scratch, scratch_scope
 from tidewell.llm.decontaminate import is_contaminated
-from tidewell.llm.ngram_join import BROADCAST_ROWS, ngram_components
+from tidewell.llm.ngram_join import BROADCAST_ROWS, placed_sets, set_fingerprint
 from tidewell.llm.packing import pack_documents
 from tidewell.llm.quality import THRESHOLD, fit_quality, quality_score
 from tidewell.llm.secrets import fit_thresholds, redacted
@@ -27,22 +27,43 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near duplicates.
+    """One row, one with the least id, of each group of near duplicates.
 
-    Of rows that repeat id and text one stays. Documents without id stay. The ids that go
-    are counted, and broadcast only if few.
+    Rows are told apart by id and set of word shingles, so a text goes only with a near
+    copy of it, whatever ids repeat or are null; of rows that have both in common one stays,
+    and a null id comes after all others. Rows without words are linked with nothing and
+    stay. The ids that go are counted, and broadcast only if few.
     """
-    found = scratch(spark, "distinct").stage(ngram_components(docs), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(side, "doc_id", "left_anti").select(docs.columns)
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    twice = twice.select("doc_id")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_anti")
-    merged = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).unionByName(merged.select(docs.columns))
+    workspace = scratch(spark, "distinct")
+    placed = workspace.stage(placed_sets(docs), "placed")
+    gone = _side(placed.where("n > 0 and doc_id <> component_id").select("doc_id").distinct())
+    twice = placed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    twice = workspace.stage(twice.select("doc_id"), "twice")
+    if twice.isEmpty() and placed.where("doc_id is null").isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = _side(twice)
+    lone = docs.where("doc_id is not null").join(twice, "doc_id", "left_anti")
+    several = docs.join(twice, "doc_id", "left_semi").select(docs.columns)
+    several = several.unionByName(docs.where("doc_id is null"))
+    several = several.withColumn("_set", set_fingerprint(F.col("text")))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "set_1", "set_2")
+    first = placed.where("n > 0").groupBy("component").agg(F.min(key).alias("first"))
+    first = first.select(
+        F.col("first.doc_id").alias("_id"), F.struct("first.n", "first.set_1", "first.set_2").alias("_first")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_first"))
+    chosen = several.join(first, same, "left_semi").dropDuplicates(["doc_id", "_set"])
+    return (
+        lone.join(gone, "doc_id", "left_anti")
+        .select(docs.columns)
+        .unionByName(chosen.select(docs.columns))
+        .unionByName(several.where("_set.n = 0").select(docs.columns))
+    )
+
+
+def _side(ids: DataFrame) -> DataFrame:
+    """Ids as one side of a join, broadcast if they were counted as few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +96,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
+    """All stages over the table ``documents``; what a stage staged for itself goes with it."""
     workspace = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = workspace.stage(stage(spark, docs, sf_dir), name)
+        with scratch_scope():
+            docs = workspace.stage(stage(spark, docs, sf_dir), name)
     return docs
