@@ -393,6 +393,17 @@ def find_nearest(
     return Hits(_finish(ranked), sizes["queries"].hit_bytes(k))
 
 
+def measured_side(df: DataFrame, id_col: str, vector_col: str) -> tuple[_Side, _Size]:
+    """A side of a search, and its counted size."""
+    side = _Side.of(df, id_col, vector_col)
+    return side, side.measure()
+
+
+def finish_ranks(rows: DataFrame, k: int, query_id: str, id_col: str) -> DataFrame:
+    """The k best of all tasks' rows, ranked, with both distances."""
+    return _finish(_ranked(rows, k, query_id, id_col))
+
+
 def _finish(rows: DataFrame) -> DataFrame:
     return rows.withColumn("l2", F.round(F.sqrt("squared_l2"), DISTANCE_PLACES))
 

@@ -44,7 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(_worth_slots(df, stored))
 
 
-def partitions_for(df: DataFrame) -> int:
-    """How many partitions to shuffle ``df`` into, by its stored size."""
-    stored = estimated_bytes(df)
+def partitions_for(df: DataFrame, stored: int | None = None) -> int:
+    """How many partitions to shuffle ``df`` into, by its stored size unless that is given."""
+    stored = estimated_bytes(df) if stored is None else stored
     return max(_worth_slots(df, stored), -(-stored // SHUFFLE_BYTES))

@@ -91,7 +91,7 @@ def build_layers(
         raw_documents(documents, source_file, text), qualified(schema, RAW_TABLE)
     )
     chunks = replace_table(
-        chunk_layer(raw, workspace, dense), qualified(schema, CHUNK_TABLE)
+        chunk_layer(raw, workspace, dense), qualified(schema, CHUNK_TABLE), lookup_key="chunk_id"
     )
     vectors = replace_table(vector_layer(chunks, encoder), qualified(schema, VECTOR_TABLE))
     return Layers(raw, chunks, vectors)

@@ -33,14 +33,16 @@ def retrieve(
     k: int = DEFAULT_K,
     encoder: Callable[[], Encoder] = HashedWords,
     clean_queries: bool = True,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` nearest chunks of each question, with their text and rank.
 
     ``vectors`` is the vector layer; it should be a written table, as its
-    vectors and its text are read separately.
+    vectors and its text are read separately. ``texts`` is the chunk layer, which is
+    made for fetching texts by id; without it they come from the vector layer.
     """
     hits = find_nearest(encode_questions(questions, encoder, clean_queries), vectors, k)
-    texts = vectors.select("chunk_id", "source_file", "chunk_text")
+    texts = (vectors if texts is None else texts).select("chunk_id", "source_file", "chunk_text")
     return fetch_hits(hits, texts, "chunk_id").select(
         "query_id", "rank", "chunk_id", "source_file", "chunk_text", "squared_l2", "l2"
     )

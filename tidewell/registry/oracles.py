@@ -164,6 +164,12 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
                CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
         FROM orders""",
+    "ingest_increment_split": f"""
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+               CAST(o_orderdate AS VARCHAR) AS o_orderdate,
+               CAST(CASE WHEN o_orderdate <= {_FIRST_LOAD_UNTIL} THEN 1 ELSE 2 END AS BIGINT)
+                 AS load_no
+        FROM orders WHERE o_orderdate IS NOT NULL""",
     "ingest_incremental": f"""
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
                CAST(o_orderdate AS VARCHAR) AS o_orderdate,
@@ -246,6 +252,11 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY label ORDER BY squared_l2, vec_id) AS rank
           FROM dist
         ) WHERE rank <= 3""",
+    "knn_pivot_index": f"""WITH {_EXAMPLES}
+        SELECT label, rank, vec_id, squared_l2, round(sqrt(squared_l2), 9) AS l2 FROM (
+          SELECT *, row_number() OVER (PARTITION BY label ORDER BY squared_l2, vec_id) AS rank
+          FROM dist
+        ) WHERE rank <= 3""",
     "knn_k_exceeds_n": f"""WITH {_EXAMPLES}
         SELECT vec_id, label, squared_l2,
                row_number() OVER (PARTITION BY vec_id ORDER BY squared_l2, label) AS rank

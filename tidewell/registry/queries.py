@@ -16,8 +16,10 @@ from tidewell.operators.embed import embed
 from tidewell.operators.ids import dense_ids, unique_id
 from tidewell.operators.knn import nearest
 from tidewell.operators.lookup import fetch_hits, rows_with_ids
+from tidewell.operators.pivots import build_pivot_index, find_nearest_by_pivots
 from tidewell.partitioning import spread
 from tidewell.plans import agent, faq
+from tidewell.plans.ingest import Database, increments
 from tidewell.plans.index import id_mapping, load_index, save_index, search_index
 from tidewell.plans.layers import Layers, build_layers, raw_documents
 from tidewell.plans.retrieval import retrieve
@@ -91,30 +93,39 @@ def _as_text(df: DataFrame, *columns: str) -> DataFrame:
 # -- incremental load ---------------------------------------------------------
 
 
-def ingest_jdbc_full(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders through a JDBC source, read in parallel ranges of the key."""
+def _orders_database(spark: SparkSession, folder: str) -> tuple[str, dict[str, str]]:
+    """URL and properties of a database that holds the table ``ORDERS``.
+
+    Without the setting it is an embedded one, filled here.
+    """
     url = spark.conf.get(JDBC_URL_SETTING, None)
-    properties = {}
-    if url is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError(
-                f"set {JDBC_URL_SETTING}: an embedded database is visible only "
-                "inside the process that holds it"
-            )
-        url = f"jdbc:derby:memory:tidewell{uuid.uuid4().hex};create=true"
-        properties = {"driver": EMBEDDED_DRIVER}
-        spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
-        (
-            parquet_table(spark, folder, "orders")
-            .select(*[F.col(c).alias(c.upper()) for c in ORDER_COLUMNS])
-            .write.format("jdbc")
-            .options(url=url, dbtable="ORDERS", batchsize=5000, **properties)
-            .option(
-                "createTableColumnTypes",
-                "O_ORDERSTATUS VARCHAR(1), O_ORDERPRIORITY VARCHAR(64)",
-            )
-            .save()
+    if url is not None:
+        return url, {}
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(
+            f"set {JDBC_URL_SETTING}: an embedded database is visible only "
+            "inside the process that holds it"
         )
+    url = f"jdbc:derby:memory:tidewell{uuid.uuid4().hex};create=true"
+    properties = {"driver": EMBEDDED_DRIVER}
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    (
+        parquet_table(spark, folder, "orders")
+        .select(*[F.col(c).alias(c.upper()) for c in ORDER_COLUMNS])
+        .write.format("jdbc")
+        .options(url=url, dbtable="ORDERS", batchsize=5000, **properties)
+        .option(
+            "createTableColumnTypes",
+            "O_ORDERSTATUS VARCHAR(1), O_ORDERPRIORITY VARCHAR(64)",
+        )
+        .save()
+    )
+    return url, properties
+
+
+def ingest_jdbc_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders through a JDBC source, read in parallel ranges of the key."""
+    url, properties = _orders_database(spark, folder)
     split = measured_split(
         spark, url, "ORDERS", properties, "O_ORDERKEY",
         partitions=spark.sparkContext.defaultParallelism,
@@ -123,6 +134,25 @@ def ingest_jdbc_full(spark: SparkSession, folder: str) -> DataFrame:
     return _as_text(orders.toDF(*[c.lower() for c in orders.columns]), "o_orderdate")
 
 
+def ingest_increment_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of the later dates loaded over JDBC, in ranges cut for the increment alone."""
+    url, properties = _orders_database(spark, folder)
+    orders = parquet_table(spark, folder, "orders").select(*ORDER_COLUMNS)
+    target = _catalog_target(spark, "orders")
+    earlier = orders.where(F.col("o_orderdate") <= F.lit(FIRST_LOAD_UNTIL).cast("timestamp_ntz"))
+    incremental_load(earlier.withColumn("load_no", F.lit(1).cast("bigint")), target, "o_orderdate")
+    read = increments(spark, Database(url, properties), "", "ORDERS", "O_ORDERDATE", "O_ORDERKEY")
+
+    def source(watermark: str | None) -> DataFrame:
+        rows = read(watermark)
+        return rows.toDF(*[c.lower() for c in rows.columns]).withColumn(
+            "load_no", F.lit(2).cast("bigint")
+        )
+
+    incremental_load(source, target, "o_orderdate")
+    return _as_text(target.read(), "o_orderdate")
+
+
 def ingest_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Two loads of orders into one table: the earlier dates, then what is new."""
     orders = parquet_table(spark, folder, "orders").select(*ORDER_COLUMNS)
@@ -355,6 +385,16 @@ def knn_l2_top3(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(_label_examples(vectors), vectors, 3, query_id="label", corpus_id="vec_id")
 
 
+def knn_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through an index of cells around pivots."""
+    vectors = parquet_table(spark, folder, "embeddings")
+    index = build_pivot_index(vectors, Workspace(spark, "pivots"), "vec_id")
+    found = find_nearest_by_pivots(
+        _label_examples(vectors), index, 3, query_id="label", corpus_id="vec_id"
+    )
+    return found.rows
+
+
 def knn_k_exceeds_n(spark: SparkSession, folder: str) -> DataFrame:
     """For each vector the label examples by distance: one more asked for than there are."""
     vectors = parquet_table(spark, folder, "embeddings")
@@ -383,13 +423,16 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def retrieve_context(spark: SparkSession, folder: str) -> DataFrame:
     """The three nearest document chunks of every benchmark text."""
-    return retrieve(_questions(spark, folder), document_layers(spark, folder).vectors)
+    layers = document_layers(spark, folder)
+    return retrieve(_questions(spark, folder), layers.vectors, texts=layers.chunks)
 
 
 def retrieve_uncleaned(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the questions encoded as they are written."""
-    vectors = document_layers(spark, folder).vectors
-    return retrieve(_questions(spark, folder), vectors, clean_queries=False)
+    layers = document_layers(spark, folder)
+    return retrieve(
+        _questions(spark, folder), layers.vectors, clean_queries=False, texts=layers.chunks
+    )
 
 
 def retrieve_saved_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -480,6 +523,7 @@ def policy_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_jdbc_full": ingest_jdbc_full,
+    "ingest_increment_split": ingest_increment_split,
     "ingest_incremental": ingest_incremental,
     "ingest_early_dates": ingest_early_dates,
     "ingest_no_new_rows": ingest_no_new_rows,
@@ -502,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_stats": index_statistics,
     "id_mapping": vector_positions,
     "knn_l2_top3": knn_l2_top3,
+    "knn_pivot_index": knn_pivot_index,
     "knn_k_exceeds_n": knn_k_exceeds_n,
     "nearest_one": nearest_one,
     "retrieve_context": retrieve_context,

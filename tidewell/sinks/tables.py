@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.functions.names import quote
 
+# Bytes of a row group, and of its Bloom filter at most, in tables for lookups.
+LOOKUP_GROUP_BYTES = 16 << 20
+LOOKUP_BLOOM_BYTES = 128 << 10
+
 
 def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
     escaped = (location or "").replace("\\", "\\\\").replace("'", "\\'")
@@ -17,9 +21,33 @@ def use_schema(spark: SparkSession, name: str) -> None:
     spark.sql(f"USE {quote(name)}")
 
 
-def replace_table(df: DataFrame, name: str, format: str = "parquet") -> DataFrame:
-    """Write ``df`` as the whole content of table ``name`` and read it back."""
-    df.write.format(format).mode("overwrite").saveAsTable(name)
+def lookup_options(key: str, row_group_bytes: int = LOOKUP_GROUP_BYTES) -> dict[str, str]:
+    """Parquet options of a table whose rows are looked up by ``key``.
+
+    Small row groups, and a Bloom filter of the key in each; a filter on the key then
+    rules out what its range or its Bloom filter excludes.
+    """
+    return {
+        "parquet.block.size": str(row_group_bytes),
+        f"parquet.bloom.filter.enabled#{key}": "true",
+        "parquet.bloom.filter.adaptive.enabled": "true",
+        "parquet.bloom.filter.max.bytes": str(LOOKUP_BLOOM_BYTES),
+    }
+
+
+def replace_table(
+    df: DataFrame, name: str, format: str = "parquet", lookup_key: str | None = None
+) -> DataFrame:
+    """Write ``df`` as the whole content of table ``name`` and read it back.
+
+    With ``lookup_key`` each file is in the key's order and prepared for lookups by it.
+    """
+    if lookup_key is not None:
+        df = df.sortWithinPartitions(lookup_key)
+    writer = df.write.format(format).mode("overwrite")
+    if lookup_key is not None:
+        writer = writer.options(**lookup_options(lookup_key))
+    writer.saveAsTable(name)
     return df.sparkSession.table(name)
 
 
