@@ -440,7 +440,7 @@ def retrieve_saved_index(spark: SparkSession, folder: str) -> DataFrame:
     vectors = parquet_table(spark, folder, "embeddings")
     workspace = Workspace(spark, "index")
     save_index(vectors, workspace.path("saved"), workspace, id_col="vec_id")
-    index = load_index(spark, workspace.path("saved"))
+    index = load_index(spark, workspace.path("saved"), "vec_id")
     hits = search_index(_label_examples(vectors), index, query_id="label")
     names = vectors.select("vec_id", F.col("label").cast("bigint").alias("hit_label"))
     return fetch_hits(hits, names, "vec_id").select(
