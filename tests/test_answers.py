@@ -1,8 +1,12 @@
+import os
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidewell.functions.text import NO_ANSWER
 from tidewell.operators.chatlog import append_exchanges, new_turns
+from tidewell.operators.generate import generate_distinct, generated_answer
 from tidewell.plans import agent, faq
 from tidewell.plans.layers import build_layers
 from tidewell.plans.retrieval import retrieve
@@ -129,3 +133,39 @@ def test_shared_root_is_the_one_the_session_names(spark):
     if configured:
         assert shared_root(spark) == configured.rstrip("/")
     assert Workspace(spark).root != Workspace(spark).root
+
+
+def test_generation_asks_each_prompt_once_bounds_it_and_keeps_failures(spark, workspace):
+    log = workspace.path("asked")
+    os.makedirs(log)
+
+    class Careful:
+        def generate(self, prompts, max_length):
+            if any("bad" in prompt for prompt in prompts):
+                raise ValueError("no")
+            for prompt in prompts:
+                open(os.path.join(log, uuid.uuid4().hex), "w").write(prompt)
+            return [None if "none" in prompt else prompt * 100 for prompt in prompts]
+
+    prompts = ["same"] * 2000 + ["bad one", "none", None, "other", "other"]
+    rows = [(i, p) for i, p in enumerate(prompts)]
+    asked = workspace.stage(spark.createDataFrame(rows, "id INT, p STRING").repartition(5), "asked-rows")
+    found = {r["id"]: r for r in generate_distinct(asked, "p", workspace, Careful, 30).collect()}
+    texts = sorted(open(os.path.join(log, name)).read() for name in os.listdir(log))
+    assert texts == ["", "none", "other", "same"]
+    assert len(found) == len(rows) and found[7]["answer"] == ("same" * 100)[:30]
+    assert found[2000]["answer"] is None and found[2000]["failure"] == "ValueError: no"
+    assert found[2001]["answer"] is None and found[2001]["failure"] is None
+    assert found[2004]["answer"] == ("other" * 100)[:30] and found[2004]["failure"] is None
+    texts = asked.limit(1).select(generated_answer(F.lit("bad"), Careful)).first()
+    assert texts[0] == NO_ANSWER
+
+
+def test_a_model_of_too_few_answers_is_a_failure(spark, workspace):
+    class Short:
+        def generate(self, prompts, max_length):
+            return []
+
+    asked = workspace.stage(spark.createDataFrame([("a",), ("b",)], "p STRING"), "short")
+    found = generate_distinct(asked, "p", workspace, Short).collect()
+    assert {r["failure"] for r in found} == {"ValueError: 0 answers to 1 prompts"}

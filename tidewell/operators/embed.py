@@ -11,7 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewell.operators.distinct import per_distinct
 from tidewell.operators.models import once_per_worker
+from tidewell.workspace import Workspace
 
 # Fixed value: the dimension of the vectors unless an encoder says otherwise.
 EMBEDDING_DIM = 384
@@ -73,16 +75,21 @@ def vector_array(matrix: np.ndarray) -> pa.ListArray:
 def embedding(text: Column, encoder: Callable[[], Encoder] = HashedWords) -> Column:
     """``ARRAY<FLOAT>`` vectors of a text column.
 
-    ``encoder`` makes the encoder inside the task, once per worker process.
+    ``encoder`` makes the encoder inside the task, once per worker process. Equal texts of a
+    batch are encoded once.
     """
     load = once_per_worker(encoder)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for texts in batches:
-            rows = [text or "" for text in texts.to_pylist()]
+            coded = texts.fill_null("").dictionary_encode()
+            rows = coded.dictionary.to_pylist()
             if rows:
-                yield vector_array(np.asarray(model.encode(rows), dtype=np.float32))
+                vectors = np.asarray(model.encode(rows), dtype=np.float32)
+                if len(rows) < len(texts):
+                    vectors = vectors[coded.indices.to_numpy()]
+                yield vector_array(vectors)
             else:
                 yield pa.array([], pa.list_(pa.float32()))
 
@@ -96,3 +103,17 @@ def embed(
     output: str = "embedding",
 ) -> DataFrame:
     return df.withColumn(output, embedding(F.col(text_col), encoder))
+
+
+def embed_distinct(
+    df: DataFrame,
+    text_col: str,
+    workspace: Workspace,
+    encoder: Callable[[], Encoder] = HashedWords,
+    output: str = "embedding",
+) -> DataFrame:
+    """As ``embed``, with each distinct text of the whole table encoded once.
+
+    See ``per_distinct`` for when that is worth it.
+    """
+    return per_distinct(df, text_col, workspace, lambda text: embedding(text, encoder), output)

@@ -61,7 +61,7 @@ def fetch_hits(
     Spark chooses the join.
     """
     size = hits.max_bytes
-    if size is not None and size <= prune_bytes:
+    if size is not None and size <= min(prune_bytes, broadcast_bytes):
         rows = hits.rows.toArrow()
         ids = [i for i in rows[key].unique().to_pylist() if i is not None]
         given = table.sparkSession.createDataFrame(rows, hits.rows.schema)

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions.text import prompt
 from tidewell.operators.context import SOURCES_HEADING, cited_context, context, source_list
-from tidewell.operators.generate import Generator, extractive_answer, generated_answer
+from tidewell.operators.generate import (
+    MAX_LENGTH,
+    Generator,
+    extractive_answer,
+    generate_distinct,
+    generated_answer,
+)
+from tidewell.workspace import Workspace
 
 
 def with_context(questions: DataFrame, hits: DataFrame, cited: bool = False) -> DataFrame:
@@ -50,6 +57,22 @@ def answer_questions(
     )
 
 
+def answer_generated(
+    questions: DataFrame,
+    hits: DataFrame,
+    generator: Callable[[], Generator],
+    workspace: Workspace,
+    max_length: int = MAX_LENGTH,
+) -> DataFrame:
+    """``(query_id, question, prompt, answer, failure)`` of a model, asked each prompt once.
+
+    Prompts are staged, so a lost task asks again only what it had not finished.
+    """
+    prepared = with_context(questions, hits).select("query_id", "question", "prompt")
+    staged = workspace.stage(prepared, "prompts")
+    return generate_distinct(staged, "prompt", workspace, generator, max_length)
+
+
 def answer_with_sources(
     questions: DataFrame,
     hits: DataFrame,

@@ -240,6 +240,21 @@ ORACLES: dict[str, str] = {
         {_encoded("vectors", "SELECT id, chunk_text AS t FROM numbered")}
         SELECT doc_id, chunk_no, b AS position, round(v, 7) AS weight
         FROM vectors JOIN numbered USING (id)""",
+    "embed_distinct_chunks": f"""WITH RECURSIVE {_CHUNKED},
+        numbered AS (
+          SELECT *, row_number() OVER (ORDER BY doc_id, chunk_no) AS id FROM chunked
+        ),
+        {_encoded("vectors", "SELECT id, chunk_text AS t FROM numbered")}
+        SELECT doc_id, chunk_no, b AS position, round(v, 7) AS weight
+        FROM vectors JOIN numbered USING (id)""",
+    "layers_refresh": f"""WITH RECURSIVE {_CHUNKED},
+        numbered AS (
+          SELECT *, row_number() OVER (ORDER BY doc_id, chunk_no) AS id FROM chunked
+        ),
+        {_encoded("vectors", "SELECT id, chunk_text AS t FROM numbered")}
+        SELECT CAST(doc_id AS VARCHAR) AS source_file, chunk_no, chunk_text,
+               count(*) AS n_components
+        FROM vectors JOIN numbered USING (id) GROUP BY ALL""",
     "index_stats": """
         SELECT 'index_creation' AS run_name, count(*) AS num_vectors,
                max(len(embedding)) AS embedding_dim
@@ -287,6 +302,13 @@ ORACLES: dict[str, str] = {
     "build_prompts": f"{_RETRIEVED} SELECT query_id, {_PROMPT} AS prompt FROM contexts",
     "answer_questions": f"""{_RETRIEVED}
         SELECT query_id, question, {_PROMPT} AS prompt, answer FROM contexts""",
+    "answer_generated": f"""{_RETRIEVED}
+        SELECT query_id,
+               CASE WHEN length(p) <= 1700 THEN substr(
+                 len(string_split(p, ' ')) || ' words asked about '
+                 || substr(p, strpos(p, 'Context:' || chr(10)) + 9), 1, 160) END AS answer,
+               CASE WHEN length(p) > 1700 THEN 'ValueError: prompt too long' END AS failure
+        FROM (SELECT query_id, {_PROMPT} AS p FROM contexts)""",
     "answer_with_sources": f"""{_RETRIEVED}
         SELECT query_id, question, cited AS context, answer, answer || sources AS response
         FROM contexts""",

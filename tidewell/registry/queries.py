@@ -12,7 +12,7 @@ from tidewell.functions.text import clean_text, preview
 from tidewell.functions.vectors import as_floats
 from tidewell.operators.chatlog import append_exchanges, new_turns
 from tidewell.operators.chunk import chunk_documents
-from tidewell.operators.embed import embed
+from tidewell.operators.embed import embed, embed_distinct
 from tidewell.operators.ids import dense_ids, unique_id
 from tidewell.operators.knn import nearest
 from tidewell.operators.lookup import fetch_hits, rows_with_ids
@@ -22,6 +22,7 @@ from tidewell.plans import agent, faq
 from tidewell.plans.ingest import Database, increments
 from tidewell.plans.index import id_mapping, load_index, save_index, search_index
 from tidewell.plans.layers import Layers, build_layers, raw_documents
+from tidewell.plans.refresh import read_layer, refresh_layer
 from tidewell.plans.retrieval import retrieve
 from tidewell.registry import samples
 from tidewell.sinks.tables import (
@@ -337,12 +338,48 @@ def medallion_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return fresh_layers(spark, folder).chunks
 
 
+def layers_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector layer of an earlier state of the documents, brought up to date.
+
+    Earlier, one source had other texts, one was not there yet, and one had further
+    documents that are gone now.
+    """
+    documents = parquet_table(spark, folder, "documents")
+    name = F.col("doc_id").cast("string").alias("source_file")
+    now = documents.select(name, F.col("text").alias("raw_content"))
+    other = F.when(F.col("source") == "src1", F.concat("text", F.lit(" as it was"))).otherwise(F.col("text"))
+    earlier = documents.where("source <> 'src2' or source is null").select(name, other.alias("raw_content"))
+    gone = documents.where("source = 'src3'").select(
+        F.concat(F.lit("old "), "doc_id").alias("source_file"), F.col("text").alias("raw_content")
+    )
+    place = Workspace(spark, "layer").path("refreshed")
+    for version in (earlier.unionByName(gone), now):
+        with Workspace(spark, "refresh") as workspace:
+            refresh_layer(version, place, workspace)
+    return read_layer(spark, place).select(
+        "source_file",
+        "chunk_no",
+        "chunk_text",
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("n_components"),
+    )
+
+
 # -- vectors ------------------------------------------------------------------
 
 
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The non-zero components of every chunk's vector."""
-    vectors = embed(_document_chunks(spark, folder), "chunk_text")
+    return _components(embed(_document_chunks(spark, folder), "chunk_text"))
+
+
+def embed_distinct_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, each distinct chunk of the whole corpus encoded once."""
+    workspace = Workspace(spark, "distinct")
+    cut = workspace.stage(_document_chunks(spark, folder), "chunks")
+    return _components(embed_distinct(cut, "chunk_text", workspace))
+
+
+def _components(vectors: DataFrame) -> DataFrame:
     # The outer form has no filter on the vectors inferred, which would encode twice.
     return vectors.select(
         "doc_id", "chunk_no", F.posexplode_outer("embedding").alias("position", "weight")
@@ -483,6 +520,17 @@ def answer_questions(spark: SparkSession, folder: str) -> DataFrame:
     return agent.answer_questions(_questions(spark, folder), retrieve_context(spark, folder))
 
 
+def answer_generated(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of a generator that quotes its prompt, and refuses long ones."""
+    return agent.answer_generated(
+        _questions(spark, folder),
+        retrieve_context(spark, folder),
+        samples.Excerpts,
+        Workspace(spark, "answers"),
+        max_length=160,
+    ).select("query_id", "answer", "failure")
+
+
 def answer_with_sources(spark: SparkSession, folder: str) -> DataFrame:
     return agent.answer_with_sources(
         _questions(spark, folder), retrieve_context(spark, folder)
@@ -542,7 +590,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_ids_unique": chunk_ids_unique,
     "chunk_ids_dense": chunk_ids_dense,
     "medallion_chunks": medallion_chunks,
+    "layers_refresh": layers_refresh,
     "embed_chunks": embed_chunks,
+    "embed_distinct_chunks": embed_distinct_chunks,
     "index_stats": index_statistics,
     "id_mapping": vector_positions,
     "knn_l2_top3": knn_l2_top3,
@@ -558,6 +608,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "format_sources": format_sources,
     "build_prompts": build_prompts,
     "answer_questions": answer_questions,
+    "answer_generated": answer_generated,
     "answer_with_sources": answer_with_sources,
     "append_chat_turns": append_chat_turns,
     "new_chat_turns": new_chat_turns,
