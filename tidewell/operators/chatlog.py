@@ -14,7 +14,12 @@ def new_turns(log: DataFrame, exchanges: DataFrame) -> DataFrame:
     after the conversation's last one (from 0 in a new conversation). The last turn
     comes from a partial aggregate, so a conversation of any length costs no big group.
     """
-    last = log.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    return turns_after(log.groupBy("conv_id").agg(F.max("turn").alias("turn")), exchanges)
+
+
+def turns_after(last: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """The same from the last turn of each conversation, ``(conv_id, turn)``, without the log."""
+    last = last.select("conv_id", F.col("turn").alias("_last"))
     if "exchange_no" not in exchanges.columns:
         exchanges = exchanges.withColumn("exchange_no", F.lit(0))
     clash = exchanges.groupBy("conv_id", "exchange_no").count().where("count > 1")

@@ -71,6 +71,27 @@ class Layers:
     vectors: DataFrame
 
 
+def build_chunks(
+    spark: SparkSession,
+    documents: DataFrame,
+    schema: str,
+    workspace: Workspace,
+    source_file: str = "source_file",
+    text: str = "raw_content",
+    dense: bool = False,
+    location: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The raw and the chunk layer as tables of ``schema``, replacing what is there."""
+    ensure_schema(spark, schema, location)
+    raw = replace_table(
+        raw_documents(documents, source_file, text), qualified(schema, RAW_TABLE)
+    )
+    chunks = replace_table(
+        chunk_layer(raw, workspace, dense), qualified(schema, CHUNK_TABLE), lookup_key="chunk_id"
+    )
+    return raw, chunks
+
+
 def build_layers(
     spark: SparkSession,
     documents: DataFrame,
@@ -86,12 +107,8 @@ def build_layers(
 
     Every layer is read back from its table, so nothing is computed twice.
     """
-    ensure_schema(spark, schema, location)
-    raw = replace_table(
-        raw_documents(documents, source_file, text), qualified(schema, RAW_TABLE)
-    )
-    chunks = replace_table(
-        chunk_layer(raw, workspace, dense), qualified(schema, CHUNK_TABLE), lookup_key="chunk_id"
+    raw, chunks = build_chunks(
+        spark, documents, schema, workspace, source_file, text, dense, location
     )
     vectors = replace_table(vector_layer(chunks, encoder), qualified(schema, VECTOR_TABLE))
     return Layers(raw, chunks, vectors)

@@ -207,6 +207,29 @@ ORACLES: dict[str, str] = {
                CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
                o_totalprice
         FROM orders""",
+    "latest_after_two_loads": """
+        SELECT o_orderkey,
+               CAST(CASE WHEN o_orderstatus = 'O' THEN o_orderdate + INTERVAL 7 DAY
+                         ELSE o_orderdate END AS VARCHAR) AS o_orderdate,
+               CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+               o_totalprice
+        FROM orders""",
+    "ingest_named": """
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+               CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority
+        FROM orders WHERE o_orderdate IS NOT NULL""",
+    "ingest_logged": """
+        WITH loads AS (
+          SELECT CASE WHEN ts < '2024-01-08' THEN 1 WHEN ts < '2024-01-15' THEN 2 ELSE 3 END AS load_no,
+                 count(*) AS new_records, CAST(max(ts) AS VARCHAR) AS watermark
+          FROM events WHERE ts IS NOT NULL GROUP BY load_no
+        )
+        SELECT CAST(load_no AS BIGINT) AS load_no, new_records,
+               coalesce(lag(watermark) OVER (ORDER BY load_no), '1900-01-01 00:00:00') AS started_from,
+               watermark, CAST(sum(new_records) OVER () AS BIGINT) AS rows_in_target
+        FROM loads""",
+    "replace_versions": """
+        SELECT c_custkey, upper(c_name) AS c_name, c_mktsegment FROM customer""",
     "policy_view": f"""
         SELECT t.conv_id, t.turn, CAST(s.id AS BIGINT) AS id, s.topic, s.content
         FROM conversations t
@@ -327,6 +350,13 @@ ORACLES: dict[str, str] = {
         )
         SELECT conv_id, t + 1 AS turn, 'user' AS role, question AS text FROM last
         UNION ALL SELECT conv_id, t + 2, 'assistant', 'Turns so far: ' || n FROM last""",
+    "new_chat_turns_kept": """
+        WITH last AS (
+          SELECT conv_id, max(turn) AS t, arg_max(text, turn) AS question, count(*) AS n
+          FROM conversations GROUP BY conv_id
+        )
+        SELECT conv_id, t + 1 AS turn, 'user' AS role, question AS text FROM last
+        UNION ALL SELECT conv_id, t + 2, 'assistant', 'Turns so far: ' || n FROM last""",
     "policy_nearest": f"""WITH entries AS (
           SELECT * FROM (VALUES {_values(samples.ENTRIES)}) v(id, topic, content)
         ), turns AS (SELECT conv_id || '-' || turn AS id, {_clean("text")} AS t FROM conversations),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions.text import clean_text, preview
 from tidewell.functions.vectors import as_floats
-from tidewell.operators.chatlog import append_exchanges, new_turns
+from tidewell.operators.chatlog import append_exchanges, new_turns, turns_after
 from tidewell.operators.chunk import chunk_documents
 from tidewell.operators.embed import embed, embed_distinct
 from tidewell.operators.ids import dense_ids, unique_id
@@ -19,9 +19,9 @@ from tidewell.operators.lookup import fetch_hits, rows_with_ids
 from tidewell.operators.pivots import build_pivot_index, find_nearest_by_pivots
 from tidewell.partitioning import spread
 from tidewell.plans import agent, faq
-from tidewell.plans.ingest import Database, increments
+from tidewell.plans.ingest import Database, increments, ingest_table
 from tidewell.plans.index import id_mapping, load_index, save_index, search_index
-from tidewell.plans.layers import Layers, build_layers, raw_documents
+from tidewell.plans.layers import Layers, build_chunks, build_layers, raw_documents
 from tidewell.plans.refresh import read_layer, refresh_layer
 from tidewell.plans.retrieval import retrieve
 from tidewell.registry import samples
@@ -31,17 +31,22 @@ from tidewell.sinks.tables import (
     append_run_record,
     ensure_schema,
     index_stats,
+    use_schema,
 )
+from tidewell.sinks.versions import VersionedTable
 from tidewell.sources.jdbc import measured_split, read_jdbc
-from tidewell.sources.tables import inline_rows, parquet_table, values_view
+from tidewell.sources.tables import catalog_table, inline_rows, parquet_table, values_view
 from tidewell.streaming.incremental import (
     DEFAULT_WATERMARK,
+    LoadLog,
     high_watermark,
     incremental_load,
     latest_versions,
+    logged_load,
     newer_than,
     resolve_watermark,
 )
+from tidewell.streaming.kept import merge_latest, merge_turns
 from tidewell.workspace import Workspace
 
 # The part of the orders that is already there when the first load runs.
@@ -68,16 +73,20 @@ def document_layers(spark: SparkSession, folder: str) -> Layers:
 
 def fresh_layers(spark: SparkSession, folder: str) -> Layers:
     with Workspace(spark, "staged") as workspace:
-        return build_layers(
-            spark,
-            parquet_table(spark, folder, "documents"),
-            schema=f"tidewell_{uuid.uuid4().hex}",
-            workspace=workspace,
-            source_file="doc_id",
-            text="text",
-            dense=True,
-            location=Workspace(spark, "layers").path("tables"),
-        )
+        return build_layers(**_layer_arguments(spark, folder, workspace))
+
+
+def _layer_arguments(spark: SparkSession, folder: str, workspace: Workspace) -> dict:
+    return {
+        "spark": spark,
+        "documents": parquet_table(spark, folder, "documents"),
+        "schema": f"tidewell_{uuid.uuid4().hex}",
+        "workspace": workspace,
+        "source_file": "doc_id",
+        "text": "text",
+        "dense": True,
+        "location": Workspace(spark, "layers").path("tables"),
+    }
 
 
 def _catalog_target(spark: SparkSession, table: str) -> CatalogTarget:
@@ -244,7 +253,66 @@ def append_merge_schema(spark: SparkSession, folder: str) -> DataFrame:
     return target.read().select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
-def bronze_latest(spark: SparkSession, folder: str) -> DataFrame:
+def ingest_named(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders ingested over JDBC into ``catalog.schema.table``, read by their bare name."""
+    url, properties = _orders_database(spark, folder)
+    schema = f"tidewell_{uuid.uuid4().hex}"
+    ensure_schema(spark, schema, Workspace(spark, "raw").path("tables"))
+    ingest_table(
+        spark, Database(url, properties), "", "ORDERS", schema, "O_ORDERDATE",
+        target_catalog="spark_catalog", split_column="O_ORDERKEY",
+    )
+    before = spark.catalog.currentDatabase()
+    use_schema(spark, schema)
+    try:
+        orders = catalog_table(spark, "orders")
+        return _as_text(orders.toDF(*[c.lower() for c in orders.columns]), "o_orderdate")
+    finally:
+        use_schema(spark, before)
+
+
+def ingest_logged(spark: SparkSession, folder: str) -> DataFrame:
+    """Events loaded by days of a week, each load starting from the log of the ones before."""
+    events = parquet_table(spark, folder, "events")
+    target = _catalog_target(spark, "events")
+    records = PathTarget(spark, Workspace(spark, "loads").path("log"))
+    log = LoadLog(records, "events")
+    for until in ("2024-01-08", "2024-01-15", None):
+        known = events if until is None else events.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        logged_load(known, target, "ts", log)
+    loads = records.read().select("load_no", "new_records", "started_from", "watermark")
+    return loads.crossJoin(F.broadcast(target.read().agg(F.count(F.lit(1)).alias("rows_in_target"))))
+
+
+def replace_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers replaced twice, the second time with another column and from the first version."""
+    customer = parquet_table(spark, folder, "customer")
+    table = _versioned(spark, "customer")
+    first = table.replace(customer.select("c_custkey", F.lower("c_name").alias("c_name")))
+    segments = customer.select("c_custkey", "c_mktsegment")
+    both = first.join(segments, "c_custkey").withColumn("c_name", F.upper("c_name"))
+    return table.replace(both)
+
+
+def _versioned(spark: SparkSession, table: str) -> VersionedTable:
+    schema = f"tidewell_{uuid.uuid4().hex}"
+    ensure_schema(spark, schema, Workspace(spark, "versions").path("tables"))
+    return VersionedTable(spark, schema, table)
+
+
+def latest_after_two_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest versions of orders as state that the second load is merged into."""
+    state = _versioned(spark, "orders_latest")
+    for load in _order_loads(spark, folder):
+        merge_latest(state, load, "o_orderkey", "o_orderdate", buckets=_buckets(spark))
+    return _as_text(state.read(), "o_orderdate")
+
+
+def _buckets(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _order_loads(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Orders, then the open ones closed a week later, as further versions."""
     orders = parquet_table(spark, folder, "orders").select(
         "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"
@@ -255,6 +323,12 @@ def bronze_latest(spark: SparkSession, folder: str) -> DataFrame:
             "o_orderdate": F.expr("o_orderdate + INTERVAL 7 DAYS"),
         }
     )
+    return [orders, closed]
+
+
+def bronze_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest versions of all orders ever loaded."""
+    orders, closed = _order_loads(spark, folder)
     versions = orders.unionByName(closed)
     return _as_text(latest_versions(versions, "o_orderkey", "o_orderdate"), "o_orderdate")
 
@@ -334,8 +408,9 @@ def chunk_ids_dense(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def medallion_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """All layers built anew; the chunk layer as its table has it."""
-    return fresh_layers(spark, folder).chunks
+    """The raw and the chunk layer built anew; the latter as its table has it."""
+    with Workspace(spark, "staged") as workspace:
+        return build_chunks(**_layer_arguments(spark, folder, workspace))[1]
 
 
 def layers_refresh(spark: SparkSession, folder: str) -> DataFrame:
@@ -557,6 +632,17 @@ def new_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
     return new_turns(log, _closing_exchanges(log))
 
 
+def new_chat_turns_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the last turns kept as state; the log is not read for it."""
+    log = parquet_table(spark, folder, "conversations")
+    state = _versioned(spark, "last_turns")
+    merge_turns(state, log, buckets=_buckets(spark))
+    exchanges = Workspace(spark, "chat").stage(_closing_exchanges(log), "exchanges")
+    turns = Workspace(spark, "chat").stage(turns_after(state.read(), exchanges), "turns")
+    merge_turns(state, turns, buckets=_buckets(spark))
+    return turns
+
+
 def policy_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The knowledge entry nearest to every conversation turn."""
     entries = values_view(spark, "knowledge", ("id", "topic", "content"), samples.ENTRIES)
@@ -579,7 +665,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "high_watermark": high_watermarks,
     "new_record_count": new_record_count,
     "append_merge_schema": append_merge_schema,
+    "ingest_named": ingest_named,
+    "ingest_logged": ingest_logged,
+    "replace_versions": replace_versions,
     "bronze_latest": bronze_latest,
+    "latest_after_two_loads": latest_after_two_loads,
     "policy_view": policy_view,
     "docs_inline": docs_inline,
     "bronze_documents": bronze_documents,
@@ -612,5 +702,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "answer_with_sources": answer_with_sources,
     "append_chat_turns": append_chat_turns,
     "new_chat_turns": new_chat_turns,
+    "new_chat_turns_kept": new_chat_turns_kept,
     "policy_nearest": policy_nearest,
 }
