@@ -7,20 +7,29 @@ digest where both have one) must agree with that response; then it takes over th
 payload, and the response's headers with those replaced that a not-modified answer
 may update.
 
-A URL with very many captures is cut into stretches of time: rows look back within
+All captures of a URL at one instant are one row of the as-of step. A URL with very many
+instants is cut into stretches of time of about equally many rows: rows look back within
 their stretch, and the latest response before a stretch comes from one row a stretch.
-Bodies take no part in that; they join by the response's id at the end.
+Bodies take no part in that; they join, by URL, instant, id and validators of the response,
+at the end, with those revisits alone that have one.
 
 Edge cases: revisits without URL or time, and those with no earlier response, are
-``no_earlier_response``; of responses at one instant the one with the greatest id
-counts; a revisit with no validator in common with the response is ``unvalidated``;
-null headers count as none; repeated rows are resolved one by one.
+``no_earlier_response``; of responses at one instant the one with the greatest id counts, a
+null id being the least, and of equal ids one, by a hash of the validators; of responses
+alike in all of these any one's headers and body are taken; a revisit with no validator in
+common with the response is ``unvalidated``; null headers count as none. Every revisit row
+gives one row: ids may be null or repeat, under other URLs too, and a response given
+twice multiplies nothing. Bodies of any length travel once for each revisit they resolve. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewell.llm.common import scratch
+from tidewell.workspace import Workspace
+
 # Headers that a not-modified answer may update, and query parameters
 # that don't tell pages apart.
 PERMITTED = (
@@ -74,27 +83,35 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def _stretch(records: DataFrame) -> Column:
-    """Number of the even stretch of time that ``at`` falls into; bounds and count from the data."""
-    low, high, count = records.agg(F.min("at"), F.max("at"), F.count(F.lit(1))).first()
-    parts = max(LEAST_STRETCHES, min(MOST_STRETCHES, (count or 0) // ROWS_A_STRETCH))
-    if low is None or low == high:
-        return F.lit(0)
-    return F.floor((F.col("at") - low) / (high - low) * parts).cast("int")
+def _stretch(instants: DataFrame) -> Column:
+    """Number of the stretch of time that ``at`` falls into; stretches hold about equally many rows."""
+    count = instants.count()
+    parts = max(LEAST_STRETCHES, min(MOST_STRETCHES, count // ROWS_A_STRETCH))
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    cuts = instants.agg(F.percentile_approx("at", shares, 10 * parts)).first()[0] or []
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda cut: cut <= F.col("at")))
 
 
-def latest_responses(records: DataFrame) -> DataFrame:
-    """(record_id, response_id) of the revisits that have an earlier full response.
+def latest_responses(records: DataFrame, workspace: Workspace) -> DataFrame:
+    """(key, at, response_at, response_id, mark) of the instants at which a URL was revisited
+    after an earlier full response.
 
-    ``records``: record_id and at (longs), key, is_full.
+    ``records``: record_id, at and mark (longs), key, is_full. Which response is the latest
+    depends on URL and instant alone, so all captures of one instant are one row.
     """
-    known = records.where("key is not null and at is not null")
-    rows = known.select("record_id", "at", "key", "is_full").withColumn("stretch", _stretch(known))
-    rows = rows.withColumn(
-        "response", F.when(F.col("is_full"), F.struct("at", F.col("record_id").alias("id")))
+    response = F.when(F.col("is_full"), F.struct(F.col("record_id").alias("id"), "mark"))
+    instants = (
+        records.where("key is not null and at is not null")
+        .groupBy("key", "at")
+        .agg(F.max(response).alias("here"), F.max(~F.col("is_full")).alias("asked"))
     )
+    instants = workspace.stage(instants, "instants")
+    rows = instants.withColumn("stretch", _stretch(instants))
+    full = F.when(F.col("here").isNotNull(), F.struct(F.col("at").alias("response_at"), "here.*"))
+    rows = rows.select("key", "at", "asked", "stretch", full.alias("response"))
     within = Window.partitionBy("key", "stretch").orderBy("at")
-    earlier = within.rangeBetween(Window.unboundedPreceding, -1)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
     before = (
         Window.partitionBy("key")
         .orderBy("stretch")
@@ -105,62 +122,92 @@ def latest_responses(records: DataFrame) -> DataFrame:
         .agg(F.max("response").alias("last"))
         .select("key", "stretch", F.max("last").over(before).alias("carried"))
     )
-    near = rows.withColumn("near", F.max("response").over(earlier)).where("not is_full")
-    return (
-        near.join(carried, ["key", "stretch"])
-        .select("record_id", F.coalesce("near.id", "carried.id").alias("response_id"))
-        .where("response_id is not null")
+    near = rows.withColumn("near", F.last("response", ignorenulls=True).over(earlier)).where("asked")
+    found = near.join(carried, ["key", "stretch"]).select(
+        "key", "at", F.coalesce("near", "carried").alias("response")
+    )
+    found = found.where("response is not null").select(
+        "key", "at", "response.response_at", F.col("response.id").alias("response_id"), "response.mark"
     )
+    return workspace.stage(found, "found")
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def _judged(pairs: DataFrame) -> DataFrame:
+    """The status of revisits joined with their response, and what it gives them."""
+    tag = F.when(
+        F.col("etag").isNotNull() & F.col("full_etag").isNotNull(),
+        _strong(F.col("etag")) == _strong(F.col("full_etag")),
+    )
+    modified = F.col("last_modified") == F.col("full_last_modified")
+    body = F.col("digest") == F.col("full_digest")
+    agrees = F.coalesce(tag, modified, body)
+    status = (
+        F.when(agrees.isNull(), "unvalidated")
+        .when(agrees & F.coalesce(body, F.lit(True)), "resolved")
+        .otherwise("validator_mismatch")
+    )
+    resolved = F.col("status") == "resolved"
+    return pairs.withColumn("status", status).select(
+        "record_id",
+        F.col("key").alias("canonical_url"),
+        "status",
+        F.when(resolved, F.col("response_id")).alias("response_id"),
+        F.when(resolved, merged_headers(F.col("full_headers"), F.col("headers"))).alias("headers"),
+        F.when(resolved, F.col("full_payload")).alias("payload"),
+    )
+
+
+def resolve_revisits(records: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """Every revisit with the response it confirms.
 
     ``records``: record_id long, url string, at long (an instant in any unit),
     kind string (``response`` or ``revisit``), etag, last_modified and digest strings,
-    headers map<string, string>, payload string. Returns record_id, canonical_url,
-    status, response_id, headers (merged, array of key and value) and payload, the
-    last three null unless the status is ``resolved``.
+    headers map<string, string>, payload string; further columns are ignored. Returns
+    record_id, canonical_url, status, response_id, headers (merged, array of key and value)
+    and payload, the last three null unless the status is ``resolved``.
     """
+    workspace = workspace or scratch(records.sparkSession, "revisits")
     keyed = records.select(
         "record_id", "url", F.col("at").cast("long").alias("at"), "kind", "etag",
         "last_modified", "digest", "headers", "payload",
     ).withColumn("key", canonical_url(F.col("url")))
+    mark = F.xxhash64("etag", "last_modified", "digest").alias("mark")
     narrow = keyed.where("kind in ('response', 'revisit')").select(
-        "record_id", "at", "key", F.expr("kind = 'response'").alias("is_full")
+        "record_id", "at", "key", F.expr("kind = 'response'").alias("is_full"), mark
     )
-    found = latest_responses(narrow).distinct()
-    revisits = keyed.where("kind = 'revisit'").drop("payload").join(found, "record_id", "left")
+    found = latest_responses(narrow, workspace)
+    revisits = keyed.where("kind = 'revisit'").drop("payload", "url", "kind")
+    known = revisits.where("key is not null and at is not null")
+    # Only what was found meets the bodies, so rows without a response make no key hot.
+    matched = known.join(found, ["key", "at"])
+    lost = known.join(found.select("key", "at"), ["key", "at"], "left_anti").select(revisits.columns)
+    lost = lost.unionByName(revisits.where("key is null or at is null"))
+    identity = ["key", "response_at", "response_id", "mark"]
     full = keyed.where("kind = 'response'").select(
+        "key",
+        F.col("at").alias("response_at"),
         F.col("record_id").alias("response_id"),
+        mark,
         *(F.col(c).alias(f"full_{c}") for c in ("etag", "last_modified", "digest", "headers", "payload")),
     )
-    tag = F.when(
-        F.col("etag").isNotNull() & F.col("full_etag").isNotNull(),
-        _strong(F.col("etag")) == _strong(F.col("full_etag")),
-    )
-    modified = F.col("last_modified") == F.col("full_last_modified")
-    body = F.col("digest") == F.col("full_digest")
-    agrees = F.coalesce(tag, modified, body)
-    status = (
-        F.when(F.col("response_id").isNull(), "no_earlier_response")
-        .when(agrees.isNull(), "unvalidated")
-        .when(agrees & F.coalesce(body, F.lit(True)), "resolved")
-        .otherwise("validator_mismatch")
+    counted = narrow.where("is_full").groupBy("key", "at", "record_id", "mark").count()
+    if not counted.where("count > 1").isEmpty():
+        full = full.dropDuplicates(identity)
+    same = F.col("f.response_id").eqNullSafe(F.col("r.response_id"))
+    for column in ("key", "response_at", "mark"):
+        same = same & (F.col(f"f.{column}") == F.col(f"r.{column}"))
+    pairs = matched.alias("r").join(full.alias("f"), same).select(
+        "r.*", *(f"f.full_{c}" for c in ("etag", "last_modified", "digest", "headers", "payload"))
     )
-    resolved = F.col("status") == "resolved"
-    return (
-        revisits.join(full, "response_id", "left")
-        .withColumn("status", status)
-        .select(
-            "record_id",
-            F.col("key").alias("canonical_url"),
-            "status",
-            F.when(resolved, F.col("response_id")).alias("response_id"),
-            F.when(resolved, merged_headers(F.col("full_headers"), F.col("headers"))).alias("headers"),
-            F.when(resolved, F.col("full_payload")).alias("payload"),
-        )
+    judged = _judged(pairs)
+    kinds = dict(judged.dtypes)
+    missing = lost.select(
+        "record_id",
+        F.col("key").alias("canonical_url"),
+        F.lit("no_earlier_response").alias("status"),
+        *(F.lit(None).cast(kinds[c]).alias(c) for c in ("response_id", "headers", "payload")),
     )
+    return judged.unionByName(missing)
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
