@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewell.llm.common import row_blocks, text_bytes
+from tidewell.llm.common import give_back, giving_back, row_blocks, text_bytes
 from tidewell.llm.toxicity import folded
 
 Q = 8
@@ -258,7 +258,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         columns, ["doc_id", "item_id", "start", "end", "edits"]
                     )
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HITS)
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), HITS)
 
     found = [hits_of(passages) for passages in passage_blocks(benchmark)]
     out = found[0]
@@ -280,6 +280,7 @@ def is_contaminated(docs: DataFrame, benchmark: DataFrame, text: Column) -> Colu
                 inner = bounds[first : last + 1]
                 for hit in passage_hits(shared.value, data[inner[0] : inner[-1]], inner - inner[0]):
                     held[first + hit[0]] = True
+            give_back()
             return pa.array(held)
 
         answer = answer | F.arrow_udf(lambda texts, run=run: run(texts), T.BooleanType())(text)

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.llm.common import BLOCK_BYTES, row_blocks, scratch, text_bytes
+from tidewell.llm.common import BLOCK_BYTES, giving_back, row_blocks, scratch, text_bytes
 from tidewell.llm.components import components
 from tidewell.workspace import Workspace
 
@@ -161,7 +161,7 @@ def count_shingles(docs: DataFrame) -> np.ndarray:
         summed = _lists(counts.sum(axis=0, keepdims=True))
         return pa.table({"part": rows["part"].slice(0, 1), "counts": summed})
 
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
+    summed = docs.select("text").mapInArrow(giving_back(count), schema).groupBy("part").applyInArrow(add, schema)
     table = np.zeros(COUNTED, np.int64).reshape(-1, ROW)
     for part, counts in summed.collect():
         table[part] = counts
@@ -241,7 +241,7 @@ def describe_sets(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     ["doc_id", "n", "set_1", "set_2", "sketch", "prefix"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), schema)
 
 
 def _may_link(n_a: str, place_a: str, n_b: str, place_b: str) -> str:
@@ -301,7 +301,7 @@ def sifted_postings(described: DataFrame, bits: np.ndarray) -> DataFrame:
             )
 
     sets = described.where("prefix is not null").select("n", F.col("set_1").alias("id"), "prefix")
-    return sets.mapInArrow(run, "n long, id long, shingle long, place int")
+    return sets.mapInArrow(giving_back(run), "n long, id long, shingle long, place int")
 
 
 def shared_postings(described: DataFrame, workspace: Workspace) -> DataFrame:
@@ -434,7 +434,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(giving_back(run), schema)
 
 
 def candidate_texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -468,7 +468,7 @@ def candidate_texts(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> Da
         once = once.union(found.dropDuplicates(["id"]))
     if members.where("again").isEmpty():
         return once
-    several = texts.where("again").select("id", "text").mapInArrow(run, "id long, text string")
+    several = texts.where("again").select("id", "text").mapInArrow(giving_back(run), "id long, text string")
     return once.union(several.dropDuplicates(["id"]))
 
 

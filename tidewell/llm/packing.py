@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tidewell.llm.common import row_blocks, scratch, text_bytes
+from tidewell.llm.common import giving_back, row_blocks, scratch, text_bytes
 from tidewell.operators.models import once_per_worker
 from tidewell.workspace import Workspace
 
@@ -208,7 +208,7 @@ def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
         finally:
             known.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), PIECES)
 
 
 Pattern = tuple[tuple[int, int], ...]

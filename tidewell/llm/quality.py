@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidewell.llm.common import is_held_out, known_labels, labelled_texts, text_bytes
+from tidewell.llm.common import give_back, is_held_out, known_labels, labelled_texts, text_bytes
 
 # Fixed values of the query: held-out fold, threshold of the predicted class.
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.3
@@ -170,9 +170,9 @@ def quality_score(model: ByteNetwork, text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         data, bounds = text_bytes(texts)
-        return pa.array(
-            [model.score(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.float64()
-        )
+        scores = [model.score(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        give_back()
+        return pa.array(scores, pa.float64())
 
     return F.arrow_udf(run, T.DoubleType())(text)
 
