@@ -1,19 +1,24 @@
 """Toxicity by weak supervision.
 
 Terms (words and word beginnings) that stand out in the labelled training sample
-form lexicons; every voter is a count of such terms against a bound, none a pattern. A generative label
-model, fitted by expectation maximisation to the voters' answers on a sample whose
-labels it never sees, estimates how each voter answers in either class and how far
-voters repeat each other; a voter that repeats others counts for less. A linear
-classifier is trained on the posterior labels, set to the labels' true shares on
-labelled texts kept aside, and scores every whole text.
-
-Edge cases: null and empty texts score by the classifier's bias; repeated rows
-score alike; without labels of both classes every score is 0.
+form lexicons. Lexicon voters hold counts of such terms against a bound; pattern voters
+look for forms: an insult directed at the reader, repeated marks, shouted words, letters
+drawn out, letters hidden behind digits or signs. A generative label model, fitted by
+expectation maximisation to the voters' answers on a sample whose labels it never sees,
+estimates how each voter answers in either class and how far voters repeat each other within
+the classes; a voter that repeats others counts for less. A linear classifier is trained on
+the posterior labels, set to the labels' true shares on labelled texts kept aside, and
+scores every whole text.
+
+Edge cases: null and empty texts score by the classifier's bias; repeated rows score
+alike; texts of any length are scored whole, block by block; a score equal to the threshold is
+class 1; without labels of both classes every score is the labels' share of class 1, 0.5
+without any; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -44,6 +49,18 @@ KINDS = 1 + len(BEGINNINGS)
 # that have it, classes weighing alike, that makes it strong; the most terms of a kind.
 EVIDENCE, STRONG, MOST_TERMS = 10.0, 0.95, 400
 
+# The patterns that vote, on texts as they are written. A word of the first kind
+# must also stand near an insult, that is, a strong term of the lexicon.
+ADDRESS = re.compile(r"\b(?:you(?:'re| are)?|your|u|tu|vous|du|ihr|eres|usted|t[uú])\b", re.IGNORECASE)
+PATTERNS = (
+    re.compile(r"[!?]{2,}"),
+    re.compile(r"\b[A-ZÀ-ÞŸ]{4,}\b"),
+    re.compile(r"([A-Za-zÀ-ÿ])\1{3,}"),
+    re.compile(r"[A-Za-z](?:[0-9@$*!]+[A-Za-z]+){1,}"),
+)
+# Words between an address and an insult at most.
+NEAR = 4
+
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
@@ -179,6 +196,21 @@ def votes(rows: np.ndarray, terms: np.ndarray, lexicon: Lexicon, n: int) -> np.n
     return np.concatenate([answers, -nothing.astype(np.int8), -little.astype(np.int8)], axis=1)
 
 
+def pattern_votes(texts: list[str], insults: set[str]) -> np.ndarray:
+    """(documents, patterns): 1 where an insult follows an address soon, or a pattern is found."""
+    answers = np.zeros((len(texts), 1 + len(PATTERNS)), np.int8)
+    for row, text in enumerate(texts):
+        if not insults.isdisjoint(word.strip(".,;:!?") for word in text.lower().split()):
+            for match in ADDRESS.finditer(text):
+                after = text[match.end() : match.end() + 40 * NEAR].lower().split()[:NEAR]
+                if not insults.isdisjoint(word.strip(".,;:!?") for word in after):
+                    answers[row, 0] = 1
+                    break
+        for column, pattern in enumerate(PATTERNS, 1):
+            answers[row, column] = pattern.search(text) is not None
+    return answers
+
+
 @dataclass
 class LabelModel:
     """Class shares, answer rates (2 classes, voters, 3 answers) and each voter's own weight."""
@@ -284,6 +316,21 @@ def calibrated(model: Linear, texts: list[str], y: np.ndarray, share: float) ->
     )
 
 
+def one_class_odds(share: float | None) -> float:
+    """Log-odds of a share, within what a score can show."""
+    share = min(max(0.5 if share is None else share, 1e-12), 1 - 1e-12)
+    return float(np.log(share / (1 - share)))
+
+
+def strong_words(lexicon: Lexicon, texts: list[str]) -> set[str]:
+    """The whole words, in small letters, that are strong terms, as the texts spell them."""
+    whole = Lexicon(*(part[(lexicon.kinds == 0) & (lexicon.share >= STRONG)] for part in (lexicon.keys, lexicon.kinds, lexicon.share)))
+    words = sorted({word.strip(".,;:!?") for text in texts for word in text.lower().split()} - {""})
+    rows, kinds, keys = term_keys(*text_bytes(pa.array(words, pa.large_string())))
+    found, _ = whole.find(rows[kinds == 0], keys[kinds == 0])
+    return {words[i] for i in found}
+
+
 def train_toxicity(
     texts: list[str], labels: np.ndarray, more: list[str], share: float | None = None
 ) -> Linear:
@@ -294,13 +341,14 @@ def train_toxicity(
     """
     nothing = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0))
     if not len(labels) or not 0 < labels.mean() < 1:
-        return Linear(nothing, np.zeros(2), -30.0)
+        known = labels.mean() if len(labels) else 0.5
+        return Linear(nothing, np.zeros(2), one_class_odds(known if share is None else share))
     share = labels.mean() if share is None else share
     kept = np.arange(len(texts)) % 3 == 2
     last, marks = [t for t, k in zip(texts, kept) if k], labels[kept]
     texts, labels = [t for t, k in zip(texts, kept) if not k], labels[~kept]
     if not 0 < labels.mean() < 1:
-        return Linear(nothing, np.zeros(2), -30.0)
+        return Linear(nothing, np.zeros(2), one_class_odds(share))
     lexicon = mine_lexicon(texts, labels)
     everything = texts + more
     rows, terms = [], []
@@ -310,7 +358,9 @@ def train_toxicity(
         rows.append(own)
         terms.append(term)
     row, term, n = np.concatenate(rows), np.concatenate(terms), len(everything)
-    answers = votes(row, term, lexicon, n)
+    answers = np.concatenate(
+        [votes(row, term, lexicon, n), pattern_votes(everything, strong_words(lexicon, texts))], axis=1
+    )
     posterior = fit_label_model(answers).posterior(answers)
     x = features(row, term, n, lexicon)
     weight, bias = fit_logistic(x, posterior[:, None], np.ones((n, 1)), 1e-4, 300)
