@@ -16,7 +16,9 @@ a block; documents are never shuffled.
 
 Edge cases: null, empty and blank passages match nothing; null and empty texts hold
 nothing; repeated passages and documents are reported each; where stretches of one
-passage overlap in a text, the one with fewest edits, then the first, is reported.
+passage overlap in a text, the one with fewest edits, then the first, is reported; texts of
+any length are searched whole; empty tables give no rows; columns other than the ids and
+texts are not read.
 """
 
 from __future__ import annotations

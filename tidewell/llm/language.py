@@ -7,7 +7,10 @@ sample, and is flagged as ambiguous when the runner-up is almost as near.
 
 Edge cases: null texts and texts without any letter are ``und`` with score 0;
 ties go to the first language by name; without any usable language all texts are
-``und``; with one language every text with a letter is of it.
+``und``; with one language every text with a letter is of it; texts of any length are read
+whole; repeated rows are predicted alike; an empty table gives no rows; columns other than
+doc_id, text and lang are not read. The training matrix on the driver has 400 texts of
+each language at most, so it grows with the number of languages.
 """
 
 from __future__ import annotations
@@ -41,10 +44,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def codewords(classes: int) -> np.ndarray:
-    """(classes, bits) of -1 and 1, no two columns alike or opposite.
+    """(classes, bits) of -1 and 1.
 
-    Up to five classes have all 2^(k-1) - 1 splits. For more, random splits are
-    drawn from a fixed seed and the set with the greatest least distance kept.
+    Up to five classes have all 2^(k-1) - 1 splits, no two alike or opposite. For more,
+    random splits are drawn from a fixed seed and the set with the greatest least distance
+    kept; some of these may be alike, which weighs that split double.
     """
     if classes <= 1:
         return np.ones((classes, 1))

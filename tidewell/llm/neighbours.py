@@ -13,7 +13,9 @@ vectors need no more than k + 1 of themselves compared.
 Edge cases: vectors that are null, empty, zero, or hold a null or a non-finite number
 take no part, nor do rows without id; vectors of another length than the commonest are
 one part of their own by length, searched whole; ties go to the smaller id; all rows
-with the query's own id are its own; repeated rows are ranked each.
+with the query's own id are its own; repeated rows are ranked each; an empty table gives
+no rows; columns other than vec_id and embedding are not read. There are ``MOST_PARTS`` parts
+at most, whatever the number of rows.
 """
 
 from __future__ import annotations

@@ -23,8 +23,11 @@ them apart.
 
 Edge cases: texts that are null, empty or without words have an empty set and link
 with nothing; with fewer than five words the whole sequence is the only shingle;
-rows that repeat a doc_id count as one document each, with the same component; a null
-doc_id is returned with a null component.
+rows that repeat a doc_id count as one document each; a null doc_id is linked by its text
+like any other, and its component is that of the least id linked with it, null if there
+is none; texts of any length are read whole; an empty table gives no rows; columns other
+than doc_id and text are not read. The order of equally rare shingles is that of their
+hashes and changes no result.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ allow, and gives up a branch whose waste can no longer beat the incumbent. The
 result is a list of patterns with how often each is used, and pieces find their
 place by their rank among pieces of their length.
 
-Edge cases: null and empty texts are the closing token alone; repeated rows are
-packed one by one; an empty table gives no rows.
+Edge cases: null and empty texts are the closing token alone; longer documents than a
+sequence are cut into pieces, however long they are; repeated rows are packed one by one;
+pieces of equal length take places in the order of id, piece and hash; an empty table gives
+no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

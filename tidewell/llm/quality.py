@@ -2,15 +2,17 @@
 
 A document's bytes go through learned filters over overlapping chunks, the
 strongest answer of each filter over the whole document is kept, and a logistic
-layer combines these into one probability. Chunks overlap so that every window
-of bytes is seen; nothing is cut off, however long the text.
+layer combines these into one probability. Chunks overlap, so that no window is lost at
+their edges: windows begin at every second byte and the last one ends with the text.
+Nothing is cut off, however long the text.
 
 Because a filter is linear in the embedded bytes, its answer is a sum of table
 entries, one table for each place in the window: scoring multiplies nothing.
 
 Edge cases: null and empty texts score as a text of padding alone; repeated rows
-score alike; without usable labels of both classes every score is the share of
-class 1 among the labels, or 0.5 without any.
+score alike; a score equal to the threshold is class 1; without usable labels of both
+classes every score is the share of class 1 among the labels, or 0.5 without any; an empty
+table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

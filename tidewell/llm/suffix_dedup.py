@@ -22,7 +22,8 @@ No pass needs all of a group in one task, and copies cost one narrow row an anch
 
 Edge cases: null and empty texts, and texts shorter than ``DEPTH``, lose nothing;
 repeated rows are copies of each other and lose all they have from ``DEPTH`` bytes on;
-a string may overlap the other place it occurs at.
+a string may overlap the other place it occurs at; an empty table gives no rows; columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
