@@ -99,3 +99,21 @@ def test_the_log_says_where_to_start(spark, workspace):
     empty = PathTarget(spark, workspace.path("nulls"))
     assert logged_load(source.selectExpr("id", "cast(null as timestamp_ntz) at"), empty, "at", other).new_records == 0
     assert not empty.exists()
+
+
+def test_a_folders_schema_is_kept_beside_it(spark, workspace):
+    target = PathTarget(spark, workspace.path("evolving"))
+    target.append(spark.createDataFrame([(1, "x")], "a INT, b STRING"))
+    target.append(spark.createDataFrame([(2, 0.5)], "a INT, c DOUBLE"))
+    assert [f.name for f in target.known_schema()] == ["a", "b", "c"]
+    assert rows(target.read()) == [(1, "x", None), (2, None, 0.5)]
+    with pytest.raises(ValueError):
+        target.append(spark.createDataFrame([("y",)], "a STRING"))
+    # Files of other writers, and folders of before, are read by their footers.
+    spark.createDataFrame([(3, True)], "a INT, d BOOLEAN").write.mode("append").parquet(target.path)
+    assert rows(target.read(merge=True).select("a", "d")) == [(1, None), (2, None), (3, True)]
+    other = PathTarget(spark, workspace.path("plain"))
+    spark.range(2).write.parquet(other.path)
+    assert other.known_schema() is None and other.read().count() == 2
+    other.append(spark.range(2, 3).withColumn("e", F.lit(1)))
+    assert rows(other.read()) == [(0, None), (1, None), (2, 1)]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewell.functions.names import quote
 
+# Where a folder's schema is kept, beside the data.
+SCHEMA_FILE = "_tidewell_schema.json"
+
 # Bytes of a row group, and of its Bloom filter at most, in tables for lookups.
 LOOKUP_GROUP_BYTES = 16 << 20
 LOOKUP_BLOOM_BYTES = 128 << 10
@@ -119,7 +124,10 @@ class CatalogTarget:
 class PathTarget:
     """A folder of Parquet files read with the union of the files' schemas.
 
-    One writer at a time: plain files have no commit that spans writers.
+    The union is kept beside the data after every append, in a file that readers of the folder
+    skip, so neither a read nor an append opens the footers of all files. A folder that has
+    none yet, or was written to by others, is read with ``merge``. One writer at a time:
+    plain files have no commit that spans writers.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -132,15 +140,43 @@ class PathTarget:
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         return path.getFileSystem(conf).exists(path)
 
-    def read(self, schema: T.StructType | None = None) -> DataFrame:
-        """``schema`` spares the footer scan when the caller knows it."""
-        if schema is not None:
-            return self.spark.read.schema(schema).parquet(self.path)
+    def _schema_file(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{SCHEMA_FILE}")
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        return path.getFileSystem(conf), path
+
+    def known_schema(self) -> T.StructType | None:
+        """The schema kept beside the data."""
+        files, path = self._schema_file()
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return T.StructType.fromJson(json.loads(text))
+
+    def _keep_schema(self, schema: T.StructType) -> None:
+        files, path = self._schema_file()
+        stream = files.create(path, True)
+        try:
+            stream.write(schema.json().encode("utf-8"))
+        finally:
+            stream.close()
+
+    def read(self, schema: T.StructType | None = None, merge: bool = False) -> DataFrame:
+        """``schema`` is used where the caller knows it; ``merge`` looks into every footer."""
+        known = schema if schema is not None or merge else self.known_schema()
+        if known is not None:
+            return self.spark.read.schema(known).parquet(self.path)
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
     def append(self, batch: DataFrame) -> None:
-        if self.exists():
-            _added_fields(self.read().schema, batch.schema)
+        known = self.read().schema if self.exists() else T.StructType([])
+        added = _added_fields(known, batch.schema)
+        if added:  # before the data: a column without rows harms no reader
+            self._keep_schema(T.StructType([*known, *(T.StructField(f.name, _bare(f.dataType)) for f in added)]))
         batch.write.mode("append").parquet(self.path)
 
 
