@@ -272,14 +272,16 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[Pattern]:
-    """Some undominated fillings of ``room``, least waste first.
+def fillings(
+    lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS, steps: int = STEPS
+) -> list[Pattern]:
+    """The ``most`` least wasteful of the undominated fillings of ``room`` met in ``steps`` steps.
 
     ``lengths`` are in falling order. A filling is dominated when an unused length
     fits beside it, or could take the place of a shorter one of it.
     """
     found: list[tuple[int, Pattern]] = []
-    budget = STEPS
+    budget = steps
 
     rising = lengths[::-1]
 
@@ -304,7 +306,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[Patt
         if left == 0 or at == len(lengths):
             if not (left and dominated(filling, left)):
                 found.append((left, tuple(filling)))
-            return left == 0 or len(found) >= 4 * FILLINGS
+            return left == 0 or len(found) >= 4 * most
         length = lengths[at]
         for number in range(min(counts[length], left // length), -1, -1):
             taken = [*filling, (length, number)] if number else filling
@@ -322,12 +324,21 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[Patt
                 filling.append((length, number))
                 left -= number * length
         found.append((left, tuple(filling)))
-    return [filling for _, filling in found[:FILLINGS]]
+    return [filling for _, filling in found[:most]]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, Pattern]]:
+def complete_bins(
+    counts: dict[int, int],
+    capacity: int = CAPACITY,
+    nodes: int = NODES,
+    most: int = FILLINGS,
+    steps: int = STEPS,
+) -> list[tuple[int, Pattern]]:
     """(times, pattern) of a packing in as few bins as the search finds.
 
+    The search visits ``nodes`` nodes at most and tries ``most`` fillings at each, looked
+    for in ``steps`` steps; beyond these bounds the best packing so far stands.
+
     Every node uses up a length, so a packing has at most as many patterns as
     lengths. A node tries a filling in one block, as often as the counts allow.
     """
@@ -346,7 +357,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         lengths = sorted((length for length, n in left.items() if n), reverse=True)
         largest = lengths[0]
         left[largest] -= 1
-        tried = fillings(lengths, left, capacity - largest)
+        tried = fillings(lengths, left, capacity - largest, most, steps)
         left[largest] += 1
         patterns = []
         for filling in tried:
@@ -356,7 +367,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
         return patterns
 
     stack = [choices()]
-    for _ in range(NODES):
+    for _ in range(nodes):
         while stack and not stack[-1]:
             stack.pop()
             if path:
