@@ -109,3 +109,25 @@ def test_verdicts_reject_junk_where_labels_suffice(spark, tmp_path):
 def test_too_few_labels_reject_nothing(spark, tmp_path):
     found = corpus(spark, tmp_path, 150, 60)
     assert all(row["kept"] and row["certified"] == 0 for row in found.values())
+
+
+def test_paths_are_laid_by_every_labelled_document(spark, workspace):
+    """More documents a language and class than a sample of a few thousand holds."""
+    rng = np.random.default_rng(8)
+    good = np.arange(11_000) % 11 < 10
+    values = np.round(rng.normal(0, 1, (len(good), len(rules.SIGNS))), 3)
+    values[:, 4] = -0.0
+    values[~good, :3] += np.round(rng.exponential(1.5, (int((~good).sum()), 3)), 3)
+    strata = np.where(np.arange(len(good)) % 5 < 4, "en", "fr")
+    rows = [(int(i), str(s), bool(g), v.tolist(), True) for i, (s, g, v) in enumerate(zip(strata, good, values))]
+    rows += [(1_000_000 + i, "en", True, [99.0] * len(rules.SIGNS), False) for i in range(50)]
+    schema = "doc_id long, stratum string, good boolean, signs array<double>, lays_path boolean"
+    labelled = workspace.stage(spark.createDataFrame(rows, schema).repartition(3), "labelled")
+    want = {None: rules.lay_path(values, good)}
+    for name in ("en", "fr"):
+        want[name] = rules.lay_path(values[strata == name], good[strata == name])
+    assert len(want[None]) > 10
+    assert rules.lay_paths(labelled, workspace) == want
+    with_few = spark.createDataFrame([r for r in rows if r[1] == "fr"][:1500], schema)
+    want = rules.lay_paths(with_few, workspace)
+    assert rules.lay_paths(with_few, workspace, most_cells=0) == want and want["fr"] == want[None]

@@ -4,9 +4,11 @@ Fixed base rules come first. Beyond them each document has a few signs of junk (
 and word repetition, odd word lengths, capitals, few different words), all turned so
 that more is worse, and a rule rejects above a cutoff. The cutoffs are found so:
 
-1. Labelled documents fall into two folds by the CRC-32 of their id. On a bounded sample of
-   the first fold a *path* is laid: starting with no rule, always the tightening of one
-   rule's cutoff comes next that rejects most junk for the good documents it costs. Steps
+1. Labelled documents fall into two folds by the CRC-32 of their id. On the first fold, all
+   of it, a *path* is laid: starting with no rule, always the tightening of one
+   rule's cutoff comes next that rejects most junk for the good documents it costs. Cutoffs
+   are exact order statistics that Spark counts, some bits of the values in a pass; then documents
+   are counted by the first cutoff of each rule that they exceed, and steps follow from these counts. Steps
    are nested, so a document's place on the path is the first step that rejects it. A
    stratum with enough labels has its own path, others the common one.
 2. The second fold, all of it, is the holdout. Per stratum and step Spark counts the good
@@ -32,6 +34,8 @@ documents are read, so clashing names of other columns do no harm.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +53,18 @@ RISK, DELTA = 0.02, 0.05
 # Every FOLDS-th labelled id lays the paths, the others are the holdout.
 FOLDS = 3
 
-# Labelled documents of a stratum and class that lay a path at most, and at least for its own.
-PATH_SAMPLE, OWN_PATH = 4000, 100
+# Labelled documents of a stratum and class that lay its own path, at least.
+OWN_PATH = 100
 
 # Steps of a path at most; tail probabilities, among good ones, that cutoffs lie at.
 STEPS = 40
 TAILS = (0.0, 0.001, 0.002, 0.004, 0.006, 0.008, 0.01, 0.015, 0.02, 0.03)
 
+# Different cells of cutoffs exceeded that come to the driver; of more, Spark counts each step.
+CELLS = 500_000
+# Bits of a value that each pass for its order statistics tells apart.
+PASSES = (13, 13, 13, 13, 12)
+
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
     "n_different_words", "n_capitals", "n_marks",
@@ -149,41 +158,68 @@ def signs() -> Column:
 
 
 Path = list[tuple[int, float]]
+# Of the documents no step rejects yet: junk and good ones by rule and first cutoff exceeded.
+Tally = Callable[[list[int]], tuple[np.ndarray, np.ndarray]]
 
 
-def lay_path(values: np.ndarray, good: np.ndarray, steps: int = STEPS) -> Path:
+def tail_ranks(n: int) -> list[int]:
+    """Places, from 0, of the ``TAILS`` among ``n`` values in ascending order."""
+    return [int(np.ceil((n - 1) * (1 - t))) for t in TAILS]
+
+
+def first_exceeded(values: np.ndarray, cutoffs: list[np.ndarray]) -> np.ndarray:
+    """For each row and sign the first of its falling cutoffs that it exceeds; their number if none."""
+    return np.stack([(values[:, [i]] <= cuts).sum(axis=1) for i, cuts in enumerate(cutoffs)], axis=1)
+
+
+def counted_cells(exceeded: np.ndarray, good: np.ndarray, n: np.ndarray) -> Tally:
+    """The tally of cells that so many documents are in."""
+
+    def tally(level: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        left = (exceeded >= np.array(level)).all(axis=1)
+        both = []
+        for own in (left & ~good, left & good):
+            counts = [np.bincount(e, n[own], len(TAILS) + 1) for e in exceeded[own].T]
+            both.append(np.array(counts).astype(np.int64))
+        return both[0], both[1]
+
+    return tally
+
+
+def steps_of(cutoffs: list[np.ndarray], tally: Tally, steps: int = STEPS) -> Path:
     """(sign, cutoff) of each step, each tightening one rule.
 
-    Cutoffs lie at tails of the good documents. The next step rejects most junk for
-    each good document it costs, one more being counted; of equal ones the first rule's.
+    The next step rejects most junk for each good document it costs, one more being
+    counted; of equal ones the first rule's.
     """
-    if not good.any() or good.all():
-        return []
-    cutoffs = [
-        np.unique(np.quantile(values[good, i], [1 - t for t in TAILS], method="higher"))[::-1]
-        for i in range(values.shape[1])
-    ]
-    level = [0] * values.shape[1]
-    rejected = np.zeros(len(values), bool)
+    level = [0] * len(cutoffs)
     path: Path = []
     while len(path) < steps:
         best = None
+        junk, good = (counts.cumsum(axis=1) for counts in tally(level))
         for sign, cuts in enumerate(cutoffs):
             for at in range(level[sign], len(cuts)):
-                fresh = (values[:, sign] > cuts[at]) & ~rejected
-                junk = int((fresh & ~good).sum())
-                if junk:
-                    worth = junk / (1 + int((fresh & good).sum()))
+                if junk[sign, at]:
+                    worth = int(junk[sign, at]) / (1 + int(good[sign, at]))
                     if best is None or worth > best[0]:
-                        best = (worth, sign, at, fresh)
+                        best = (worth, sign, at)
         if best is None:
             break
-        _, sign, at, fresh = best
+        _, sign, at = best
         path.append((sign, float(cutoffs[sign][at])))
-        level[sign], rejected = at + 1, rejected | fresh
+        level[sign] = at + 1
     return path
 
 
+def lay_path(values: np.ndarray, good: np.ndarray, steps: int = STEPS) -> Path:
+    """The path that documents in memory lay; cutoffs lie at tails of the good ones."""
+    if not good.any() or good.all():
+        return []
+    ordered = np.sort(values[good], axis=0)
+    cutoffs = [np.unique(column[tail_ranks(len(column))])[::-1] for column in ordered.T]
+    return steps_of(cutoffs, counted_cells(first_exceeded(values, cutoffs), good, np.ones(len(good))), steps)
+
+
 def binomial_tail(failures: int, trials: int, rate: float) -> float:
     """The exact chance of at most ``failures`` in ``trials`` of the given rate."""
     if failures >= trials:
@@ -250,33 +286,153 @@ def _labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def _sample(rows: DataFrame) -> DataFrame:
-    """About ``PATH_SAMPLE`` documents of each stratum and class, by the hash of their id."""
+def _by_path(batch: pa.RecordBatch, names: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(path, signs, good) of a batch's documents for every path they lay; None is the common one."""
+    signs = batch.column("signs").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(SIGNS)) + 0.0
+    good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+    strata = np.array(batch.column("stratum").to_pylist(), object)
+    for number, name in enumerate(names):
+        own = np.ones(len(good), bool) if name is None else strata == name
+        if own.any():
+            yield number, signs[own], good[own]
+
+
+def _in_order(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the values."""
+    bits = np.ascontiguousarray(values).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.uint64(bits).view(np.float64))
+
+
+def good_cutoffs(
+    rows: DataFrame, names: list[str | None], trials: list[int]
+) -> list[list[np.ndarray]]:
+    """The falling cutoffs of each path and sign, exactly at the tails of its ``trials`` good documents.
+
+    A pass counts the values that begin with bits where a cutoff lies by some more bits of them, so
+    what comes to the driver is bounded whatever the number of documents.
+    """
+    places = {
+        (path, sign): [(0, rank) for rank in tail_ranks(n)]
+        for path, n in enumerate(trials)
+        for sign in range(len(SIGNS))
+    }
+    known = 0
+    for width in PASSES:
+        begun = {key: np.array(sorted({start for start, _ in at}), np.uint64) for key, at in places.items()}
+        shifts = np.uint64(64 - known), np.uint64(64 - known - width)
+
+        def run(batches: Iterator[pa.RecordBatch], begun=begun, shifts=shifts) -> Iterator[pa.RecordBatch]:
+            counted: Counter[tuple[int, int, int]] = Counter()
+            for batch in batches:
+                for path, signs, good in _by_path(batch, names):
+                    keys = _in_order(signs[good])
+                    for sign, column in enumerate(keys.T):
+                        if shifts[0] < 64:
+                            column = column[np.isin(column >> shifts[0], begun[path, sign])]
+                        starts, n = np.unique(column >> shifts[1], return_counts=True)
+                        counted.update(
+                            {(path, sign, k): c for k, c in zip(starts.view(np.int64).tolist(), n.tolist())}
+                        )
+            columns = [pa.array([k[i] for k in counted], pa.int64()) for i in range(3)]
+            columns.append(pa.array(list(counted.values()), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["path", "sign", "start", "n"])
+
+        found = rows.where("good").mapInArrow(run, "path long, sign long, start long, n long")
+        found = found.groupBy("path", "sign", "start").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+        counts: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for path, sign, start, n in zip(*found.values()):
+            start %= 1 << 64
+            counts.setdefault((path, sign, start >> width), []).append((start, n))
+        for (path, sign), at in places.items():
+            longer = []
+            for start, rank in at:
+                for child, n in sorted(counts[path, sign, start]):
+                    if rank < n:
+                        longer.append((child, rank))
+                        break
+                    rank -= n
+            places[path, sign] = longer
+        known += width
+    return [
+        [np.unique([_value(key) for key, _ in places[path, sign]])[::-1] for sign in range(len(SIGNS))]
+        for path in range(len(trials))
+    ]
+
+
+def path_cells(rows: DataFrame, names: list[str | None], cutoffs: list[list[np.ndarray]]) -> DataFrame:
+    """(path, good, cell, n): documents by the first cutoff they exceed of every sign, as the cell's digits."""
+    base = len(TAILS) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter[tuple[int, bool, int]] = Counter()
+        for batch in batches:
+            for path, signs, good in _by_path(batch, names):
+                cells = first_exceeded(signs, cutoffs[path]) @ base ** np.arange(len(SIGNS))
+                counted.update(zip([path] * len(good), good.tolist(), cells.tolist()))
+            if len(counted) > CELLS:
+                yield given(counted)
+                counted.clear()
+        yield given(counted)
+
+    def given(counted: Counter[tuple[int, bool, int]]) -> pa.RecordBatch:
+        kinds = pa.int64(), pa.bool_(), pa.int64()
+        columns = [pa.array([k[i] for k in counted], kind) for i, kind in enumerate(kinds)]
+        columns.append(pa.array(list(counted.values()), pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, ["path", "good", "cell", "n"])
+
+    found = rows.mapInArrow(run, "path long, good boolean, cell long, n long")
+    return found.groupBy("path", "good", "cell").agg(F.sum("n").alias("n"))
+
+
+def _spark_tally(cells: DataFrame) -> Tally:
+    """As ``counted_cells``, of cells too many for the driver."""
+    base = len(TAILS) + 1
+    digits = [F.expr(f"cell div {base**sign} % {base}") for sign in range(len(SIGNS))]
+
+    def tally(level: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        left = cells
+        for digit, at in zip(digits, level):
+            left = left.where(digit >= at)
+        pairs = F.array(*(F.struct(F.lit(i).alias("sign"), d.alias("at")) for i, d in enumerate(digits)))
+        each = left.select("good", "n", F.explode(pairs).alias("pair"))
+        both = np.zeros((2, len(SIGNS), base), np.int64)
+        for good, sign, at, n in each.groupBy("good", "pair.sign", "pair.at").agg(F.sum("n")).collect():
+            both[int(good), sign, at] = n
+        return both[0], both[1]
+
+    return tally
+
+
+def lay_paths(labelled: DataFrame, workspace: Workspace, most_cells: int = CELLS) -> dict[str | None, Path]:
+    """Each stratum's path, and the common one as that of None, laid by all rows with ``lays_path``."""
+    rows = labelled.where("lays_path").select("stratum", "good", "signs")
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("stratum", "good").count().collect()}
-    share = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(1.0)
-    for (stratum, good), n in sorted(counts.items()):
-        if n > PATH_SAMPLE:
-            same = (F.col("stratum") == stratum) & (F.col("good") == good)
-            wanted = F.when(same, PATH_SAMPLE / n).otherwise(wanted)
-    most = sum(min(n, 2 * PATH_SAMPLE) for n in counts.values())
-    return rows.where(share < wanted).limit(most + 1)
-
-
-def lay_paths(labelled: DataFrame) -> dict[str | None, Path]:
-    """Each stratum's path, and the common one as that of None."""
-    rows = _sample(labelled.where("lays_path")).select("stratum", "good", "signs").collect()
-    if not rows:
+    if not counts:
         return {}
-    values = np.array([r["signs"] for r in rows])
-    good = np.array([r["good"] for r in rows])
-    strata = np.array([r["stratum"] for r in rows], object)
-    paths: dict[str | None, Path] = {None: lay_path(values, good)}
-    for name in sorted(set(strata)):
-        own = strata == name
-        if min(good[own].sum(), (~good[own]).sum()) >= OWN_PATH:
-            paths[name] = lay_path(values[own], good[own])
-    return paths
+    trials = {None: sum(n for (_, good), n in counts.items() if good)}
+    for name in sorted({stratum for stratum, _ in counts}):
+        if min(counts.get((name, True), 0), counts.get((name, False), 0)) >= OWN_PATH:
+            trials[name] = counts[name, True]
+    if trials[None] in (0, sum(counts.values())):
+        return {None: []}
+    names = list(trials)
+    cutoffs = good_cutoffs(rows, names, list(trials.values()))
+    cells = workspace.stage(path_cells(rows, names, cutoffs), "cells")
+    if cells.count() > most_cells:
+        tallies = [_spark_tally(cells.where(F.col("path") == i)) for i in range(len(names))]
+    else:
+        found = cells.toArrow()
+        path, good, cell, n = (found[c].to_numpy() for c in ("path", "good", "cell", "n"))
+        digits = cell[:, None] // (len(TAILS) + 1) ** np.arange(len(SIGNS)) % (len(TAILS) + 1)
+        tallies = [
+            counted_cells(digits[path == i], good[path == i].astype(bool), n[path == i]) for i in range(len(names))
+        ]
+    return {name: steps_of(cuts, tally) for name, cuts, tally in zip(names, cutoffs, tallies)}
 
 
 def rule_verdicts(
@@ -311,7 +467,7 @@ def rule_verdicts(
     labelled = workspace.stage(
         one.where("not base_failed").join(_labels(labels), "doc_id"), "labelled"
     )
-    paths = lay_paths(labelled)
+    paths = lay_paths(labelled, workspace)
     step = first_step(paths, F.col("stratum"), F.col("signs"))
     held = labelled.where("good and not lays_path").withColumn("step", step)
     tallies: dict[str, dict[int, int]] = {}
