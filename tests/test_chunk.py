@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -108,3 +109,17 @@ def test_column_drops_empty_documents(spark):
 def test_overlap_must_be_smaller_than_the_chunk():
     with pytest.raises(ValueError):
         chunks("t", 10, 10)
+
+
+def test_long_batches_are_cut_in_parts(spark, monkeypatch):
+    """Parts of a batch are given back one by one; every document keeps its own chunks."""
+    from tidewell.operators import chunk as module
+
+    yielded = []
+    monkeypatch.setattr(module.F, "arrow_udf", lambda run, kind: lambda text: run)
+    run = module.chunks(None)
+    texts = [f"w{i} " * 200 for i in range(5_000)]
+    for part in run(iter([pa.array(t[:-1] for t in texts), pa.array([], pa.string())])):
+        assert sum(len(c) for row in part.to_pylist() for c in row) < 1.5 * module.HELD_CHARS
+        yielded += part.to_pylist()
+    assert yielded == [module.split_text(t[:-1]) for t in texts]

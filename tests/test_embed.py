@@ -61,3 +61,26 @@ def test_index_stats(spark):
     ragged = rows.unionByName(rows.select(F.array(F.lit(1.0).cast("float")).alias("embedding")))
     with pytest.raises(Exception, match="unequal dimension"):
         index_stats(ragged).collect()
+
+
+def test_vectors_are_made_in_bounded_parts(spark):
+    """However many texts a batch has, so few are encoded at once; order and copies stay."""
+    from tidewell.operators import embed as module
+
+    texts = [f"w{i} w{i % 7}  x{'' if i % 3 else ' w'}" for i in range(9_000)]
+    counted = HashedWords().encode(texts)
+    for i in (0, 255, 256, 4095, 4096, 8_999):
+        want = np.zeros(384)
+        for word in texts[i].split():
+            want[HashedWords().bucket(word)] += 1
+        assert np.array_equal(counted[i], (want / np.sqrt((want * want).sum())).astype(np.float32))
+
+    class Few(HashedWords):
+        def encode(self, texts):
+            assert len(texts) <= 4096
+            return super().encode(texts)
+
+    for rows in (texts, texts + texts[:50]):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id long, text string").coalesce(1)
+        found = {r["id"]: r["embedding"] for r in module.embed(docs, "text", Few).collect()}
+        assert all(np.array_equal(np.float32(found[i]), counted[i % 9_000]) for i in range(len(rows)))

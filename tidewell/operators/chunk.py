@@ -20,6 +20,9 @@ from tidewell.functions.text import clean_text
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
 
+# Characters a worker holds cut as Python strings at a time, unless one text is longer.
+HELD_CHARS = 1 << 20
+
 
 def _word_packed(text: str, lo: int, hi: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Character intervals packing the words of ``text[lo:hi]``, all shorter than ``size``."""
@@ -68,10 +71,19 @@ def chunks(cleaned: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than the chunk size")
 
+    kind = pa.list_(pa.string())
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [split_text(text.as_py(), size, overlap) for text in texts]
-            yield pa.array(rows, pa.list_(pa.string()))
+            rows, held = [], 0
+            for text in texts:
+                text = text.as_py()
+                rows.append(split_text(text, size, overlap))
+                held += len(text or "")
+                if held > HELD_CHARS:
+                    yield pa.array(rows, kind)
+                    rows, held = [], 0
+            yield pa.array(rows, kind)
 
     return F.arrow_udf(run, T.ArrayType(T.StringType()))(cleaned)
 

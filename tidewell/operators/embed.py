@@ -18,6 +18,11 @@ from tidewell.workspace import Workspace
 # Fixed value: the dimension of the vectors unless an encoder says otherwise.
 EMBEDDING_DIM = 384
 
+# Texts whose words are counted at a time: their counts stay in a core's cache.
+_COUNTED_ROWS = 256
+# Texts a worker encodes at a time, so that its memory is that of their vectors alone.
+_ENCODED_ROWS = 4096
+
 
 class Encoder(Protocol):
     """Anything that turns texts into one vector each."""
@@ -32,36 +37,43 @@ class HashedWords:
     hex digits of its MD5, modulo ``dim``.
     """
 
-    _MOST_KNOWN = 1_000_000
+    _MOST_KNOWN = 200_000
 
     def __init__(self, dim: int = EMBEDDING_DIM) -> None:
         self.dim = dim
         self._known: dict[str, int] = {"": -1}
 
     def bucket(self, word: str) -> int:
-        return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+        return int.from_bytes(hashlib.md5(word.encode("utf-8")).digest()[:4], "big") % self.dim
 
     def _buckets(self, vocabulary: list[str]) -> list[int]:
-        if len(self._known) > self._MOST_KNOWN:
-            self._known = {"": -1}
-        for word in vocabulary:
-            if word not in self._known:
-                self._known[word] = self.bucket(word)
-        return [self._known[word] for word in vocabulary]
+        """The words' buckets; the first words met, most of them frequent, stay known."""
+        found = list(map(self._known.get, vocabulary))
+        for at, bucket in enumerate(found):
+            if bucket is None:
+                found[at] = bucket = self.bucket(vocabulary[at])
+                if len(self._known) < self._MOST_KNOWN:
+                    self._known[vocabulary[at]] = bucket
+        return found
 
     def encode(self, texts: list[str]) -> np.ndarray:
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = words.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
-        buckets = np.array(self._buckets(vocabulary), np.int64)
-        column = buckets[coded.indices.to_numpy(zero_copy_only=False)]
-        row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
-        real = column >= 0
-        counts = np.bincount(
-            row[real] * self.dim + column[real], minlength=len(texts) * self.dim
-        ).reshape(len(texts), self.dim).astype(np.float64)
-        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        return (counts / np.where(norms == 0, 1.0, norms)).astype(np.float32)
+        vocabulary = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # Place 0 of a row is that of nothing between two spaces, and is left out.
+        column = np.array(self._buckets(vocabulary), np.int64)[coded.indices.to_numpy(zero_copy_only=False)] + 1
+        lengths = pc.list_value_length(words).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        vectors = np.empty((len(texts), self.dim), np.float32)
+        for lo in range(0, len(texts), _COUNTED_ROWS):
+            hi = min(lo + _COUNTED_ROWS, len(texts))
+            row = np.repeat(np.arange(hi - lo) * (self.dim + 1), lengths[lo:hi])
+            places = (hi - lo) * (self.dim + 1)
+            counts = np.bincount(row + column[ends[lo] : ends[hi]], minlength=places)
+            counts = counts.reshape(hi - lo, self.dim + 1)[:, 1:].astype(np.float64)
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vectors[lo:hi] = counts / np.where(norms == 0, 1.0, norms)
+        return vectors
 
 
 def vector_array(matrix: np.ndarray) -> pa.ListArray:
@@ -82,17 +94,23 @@ def embedding(text: Column, encoder: Callable[[], Encoder] = HashedWords) -> Col
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
-        for texts in batches:
-            coded = texts.fill_null("").dictionary_encode()
-            rows = coded.dictionary.to_pylist()
-            if rows:
-                vectors = np.asarray(model.encode(rows), dtype=np.float32)
-                if len(rows) < len(texts):
-                    vectors = vectors[coded.indices.to_numpy()]
-                yield vector_array(vectors)
+        for batch in batches:
+            coded = batch.fill_null("").dictionary_encode()
+            rows = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if len(rows) < len(batch):
+                # Copies are given out from the vectors of all different texts.
+                vectors = np.concatenate([encoded(model, rows, lo) for lo in range(0, len(rows), _ENCODED_ROWS)])
+                for lo in range(0, len(batch), _ENCODED_ROWS):
+                    yield vector_array(vectors[coded.indices[lo : lo + _ENCODED_ROWS].to_numpy()])
+            elif rows:
+                for lo in range(0, len(rows), _ENCODED_ROWS):
+                    yield vector_array(encoded(model, rows, lo))
             else:
                 yield pa.array([], pa.list_(pa.float32()))
 
+    def encoded(model: Encoder, rows: list[str], lo: int) -> np.ndarray:
+        return np.asarray(model.encode(rows[lo : lo + _ENCODED_ROWS]), dtype=np.float32)
+
     return F.arrow_udf(run, T.ArrayType(T.FloatType()))(text)
 
 
