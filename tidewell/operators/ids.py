@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.partitioning import partitions_for
+from tidewell.sinks.tables import COMPACT
 from tidewell.workspace import Workspace
 
 # monotonically_increasing_id() holds the partition above this many bits and
@@ -35,12 +36,12 @@ def dense_ids(
     is a written table, which spares the first of the two writes.
     """
     if order_by and not keyed:
-        df = workspace.stage(df.withColumn("_fetched", unique_id()), f"fetched-{id_col}")
+        df = workspace.stage(df.withColumn("_fetched", unique_id()), f"fetched-{id_col}", COMPACT)
         order_by = [*order_by, "_fetched"]
     if order_by:
         df = df.repartitionByRange(partitions_for(df), *order_by).sortWithinPartitions(*order_by)
     placed = workspace.stage(
-        df.drop("_fetched").withColumn("_place", unique_id()), f"placed-{id_col}"
+        df.drop("_fetched").withColumn("_place", unique_id()), f"placed-{id_col}", COMPACT
     )
     part = F.shiftright("_place", _POSITION_BITS)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

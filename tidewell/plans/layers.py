@@ -12,7 +12,7 @@ from tidewell.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from tidewell.operators.embed import Encoder, HashedWords, embed
 from tidewell.operators.ids import dense_ids, unique_id
 from tidewell.partitioning import spread
-from tidewell.sinks.tables import ensure_schema, replace_table
+from tidewell.sinks.tables import COMPACT, ensure_schema, replace_table
 from tidewell.workspace import Workspace
 
 # Names of the layer tables.
@@ -58,10 +58,10 @@ def chunk_layer(
 
 
 def vector_layer(
-    chunks: DataFrame, encoder: Callable[[], Encoder] = HashedWords
+    chunks: DataFrame, encoder: Callable[[], Encoder] = HashedWords, dealt: bool = False
 ) -> DataFrame:
-    """The chunk layer with a vector per chunk."""
-    return embed(spread(chunks), "chunk_text", encoder)
+    """The chunk layer with a vector per chunk. ``dealt``: its files fill the cores already."""
+    return embed(chunks if dealt else spread(chunks), "chunk_text", encoder)
 
 
 @dataclass(frozen=True)
@@ -84,10 +84,13 @@ def build_chunks(
     """The raw and the chunk layer as tables of ``schema``, replacing what is there."""
     ensure_schema(spark, schema, location)
     raw = replace_table(
-        raw_documents(documents, source_file, text), qualified(schema, RAW_TABLE)
+        raw_documents(documents, source_file, text), qualified(schema, RAW_TABLE), options=COMPACT
     )
     chunks = replace_table(
-        chunk_layer(raw, workspace, dense), qualified(schema, CHUNK_TABLE), lookup_key="chunk_id"
+        chunk_layer(raw, workspace, dense),
+        qualified(schema, CHUNK_TABLE),
+        lookup_key="chunk_id",
+        options=COMPACT,
     )
     return raw, chunks
 
@@ -105,10 +108,13 @@ def build_layers(
 ) -> Layers:
     """Write each layer as a table of ``schema``, replacing what is there.
 
-    Every layer is read back from its table, so nothing is computed twice.
+    Every layer is read back from its table, so nothing is computed twice. Dense ids
+    deal the chunks out in even ranges, so those are not dealt out again to be encoded.
     """
     raw, chunks = build_chunks(
         spark, documents, schema, workspace, source_file, text, dense, location
     )
-    vectors = replace_table(vector_layer(chunks, encoder), qualified(schema, VECTOR_TABLE))
+    vectors = replace_table(
+        vector_layer(chunks, encoder, dealt=dense), qualified(schema, VECTOR_TABLE), options=COMPACT
+    )
     return Layers(raw, chunks, vectors)

@@ -15,6 +15,9 @@ SCHEMA_FILE = "_tidewell_schema.json"
 LOOKUP_GROUP_BYTES = 16 << 20
 LOOKUP_BLOOM_BYTES = 128 << 10
 
+# Parquet options of tables that copy whole texts: what is written is their larger cost.
+COMPACT = {"compression": "zstd"}
+
 
 def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
     escaped = (location or "").replace("\\", "\\\\").replace("'", "\\'")
@@ -41,15 +44,20 @@ def lookup_options(key: str, row_group_bytes: int = LOOKUP_GROUP_BYTES) -> dict[
 
 
 def replace_table(
-    df: DataFrame, name: str, format: str = "parquet", lookup_key: str | None = None
+    df: DataFrame,
+    name: str,
+    format: str = "parquet",
+    lookup_key: str | None = None,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Write ``df`` as the whole content of table ``name`` and read it back.
 
     With ``lookup_key`` each file is in the key's order and prepared for lookups by it.
+    ``options`` are those of the format.
     """
     if lookup_key is not None:
         df = df.sortWithinPartitions(lookup_key)
-    writer = df.write.format(format).mode("overwrite")
+    writer = df.write.format(format).options(**(options or {})).mode("overwrite")
     if lookup_key is not None:
         writer = writer.options(**lookup_options(lookup_key))
     writer.saveAsTable(name)
