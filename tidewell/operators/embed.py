@@ -84,12 +84,64 @@ def vector_array(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(values))
 
 
+def packed_array(matrix: np.ndarray) -> pa.Array:
+    """Arrow binary column of the rows' components, four little-endian bytes each."""
+    rows, dim = matrix.shape
+    ends = np.arange(rows + 1, dtype=np.int32) * (4 * dim)
+    data = np.ascontiguousarray(matrix, dtype="<f4").reshape(-1)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def unpacked_array(column: pa.Array) -> pa.Array:
+    """The vectors of ``packed_array`` as a list column; nulls stay."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy())])
+    data = b"" if column.null_count == len(column) else _bytes_of(column)
+    values = np.frombuffer(data, "<f4").astype(np.float32, copy=False)
+    return pa.ListArray.from_arrays(pa.array(ends // 4, pa.int32()), pa.array(values), mask=column.is_null())
+
+
+def _bytes_of(column: pa.Array) -> memoryview:
+    """The bytes of all values, one after the other."""
+    known = column.drop_null()
+    places = np.frombuffer(known.buffers()[1], np.int64 if pa.types.is_large_binary(known.type) else np.int32)
+    first, last = places[known.offset], places[known.offset + len(known)]
+    return memoryview(known.buffers()[2])[first:last] if last > first else memoryview(b"")
+
+
 def embedding(text: Column, encoder: Callable[[], Encoder] = HashedWords) -> Column:
     """``ARRAY<FLOAT>`` vectors of a text column.
 
     ``encoder`` makes the encoder inside the task, once per worker process. Equal texts of a
     batch are encoded once.
     """
+    return _encoded(text, encoder, vector_array, pa.list_(pa.float32()), T.ArrayType(T.FloatType()))
+
+
+def packed_embedding(text: Column, encoder: Callable[[], Encoder] = HashedWords) -> Column:
+    """The same vectors as ``BINARY``, for tables that are written and copied more than read.
+
+    A value of an array is written and read by itself, a packed vector as one value.
+    """
+    return _encoded(text, encoder, packed_array, pa.binary(), T.BinaryType())
+
+
+def unpacked(packed: Column) -> Column:
+    """``ARRAY<FLOAT>`` vectors of packed ones."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield unpacked_array(batch)
+
+    return F.arrow_udf(run, T.ArrayType(T.FloatType()))(packed)
+
+
+def _encoded(
+    text: Column,
+    encoder: Callable[[], Encoder],
+    form: Callable[[np.ndarray], pa.Array],
+    stored: pa.DataType,
+    kind: T.DataType,
+) -> Column:
     load = once_per_worker(encoder)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -101,17 +153,17 @@ def embedding(text: Column, encoder: Callable[[], Encoder] = HashedWords) -> Col
                 # Copies are given out from the vectors of all different texts.
                 vectors = np.concatenate([encoded(model, rows, lo) for lo in range(0, len(rows), _ENCODED_ROWS)])
                 for lo in range(0, len(batch), _ENCODED_ROWS):
-                    yield vector_array(vectors[coded.indices[lo : lo + _ENCODED_ROWS].to_numpy()])
+                    yield form(vectors[coded.indices[lo : lo + _ENCODED_ROWS].to_numpy()])
             elif rows:
                 for lo in range(0, len(rows), _ENCODED_ROWS):
-                    yield vector_array(encoded(model, rows, lo))
+                    yield form(encoded(model, rows, lo))
             else:
-                yield pa.array([], pa.list_(pa.float32()))
+                yield pa.array([], stored)
 
     def encoded(model: Encoder, rows: list[str], lo: int) -> np.ndarray:
         return np.asarray(model.encode(rows[lo : lo + _ENCODED_ROWS]), dtype=np.float32)
 
-    return F.arrow_udf(run, T.ArrayType(T.FloatType()))(text)
+    return F.arrow_udf(run, kind)(text)
 
 
 def embed(

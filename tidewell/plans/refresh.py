@@ -7,8 +7,9 @@ written again, each in place of its old rows. The state is written last, so a re
 that failed is simply made again: its changes are found anew, and rows it had written
 already are replaced.
 
-Texts are never shuffled whole: fingerprints are, and the chunks of changed documents. A
-folder has one writer at a time.
+Texts are never shuffled whole: fingerprints are, and the chunks of changed documents. Vectors
+are kept packed, as most of what a refresh writes are rows it copies: they go through as they
+are, and only a reader makes arrays of them. A folder has one writer at a time.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidewell.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
-from tidewell.operators.embed import Encoder, HashedWords, embed
+from tidewell.operators.embed import Encoder, HashedWords, packed_embedding, unpacked
 from tidewell.partitioning import spread
 from tidewell.sinks.tables import PathTarget
 from tidewell.workspace import Workspace
@@ -30,6 +31,10 @@ BROADCAST_NAMES = 100_000
 
 _KEY = "source_file"
 _STATE = "source_file string, documents bigint, one decimal(38,0), two decimal(38,0), bucket int"
+# ``embedding`` is null but in rows of layers that were kept as arrays.
+_STORED = (
+    "source_file string, chunk_no bigint, chunk_text string, embedding array<float>, packed binary, bucket int"
+)
 
 
 @dataclass(frozen=True)
@@ -112,10 +117,20 @@ def _named(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
 
 def read_layer(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, chunk_no, chunk_text, embedding, bucket) of the layer as it stands."""
-    schema = "source_file string, chunk_no bigint, chunk_text string, embedding array<float>, bucket int"
+    vector = F.coalesce("embedding", unpacked(F.col("packed")))
+    return _stored(spark, folder).withColumn("embedding", vector).drop("packed")
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The layer's rows as they are kept."""
     if not PathTarget(spark, f"{folder}/vectors").exists():
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/vectors")
+        return _nothing(spark, _STORED)
+    return spark.read.schema(_STORED).parquet(f"{folder}/vectors")
+
+
+def _nothing(spark: SparkSession, columns: str) -> DataFrame:
+    schema = T.StructType.fromDDL(columns)
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
 
 
 def refresh_layer(
@@ -135,7 +150,7 @@ def refresh_layer(
     spark = documents.sparkSession
     documents = documents.select(F.col(_KEY).cast("string"), "raw_content")
     state = PathTarget(spark, f"{folder}/state")
-    before = state.read(_schema(spark)) if state.exists() else spark.createDataFrame([], _STATE)
+    before = state.read(T.StructType.fromDDL(_STATE)) if state.exists() else _nothing(spark, _STATE)
     now = workspace.stage(document_state(documents, buckets), "state")
     diff = workspace.stage(changes(now, before), "changes")
     counted = {r["kind"]: r["count"] for r in diff.groupBy("kind").count().collect()}
@@ -148,14 +163,14 @@ def refresh_layer(
     cut = chunk_documents(spread(fresh), _KEY, text_col="raw_content", size=size, overlap=overlap)
     # Chunks of one bucket come together, in as many tasks as their bytes need.
     cut = cut.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
-    new = embed(cut, "chunk_text", encoder)
-    layer = read_layer(spark, folder)
-    kept = _named(layer.where(F.col("bucket").isin(affected)), names, "left_anti")
-    columns = [_KEY, "chunk_no", "chunk_text", "embedding", "bucket"]
+    new = cut.withColumns(
+        {
+            "embedding": F.lit(None).cast("array<float>"),
+            "packed": packed_embedding(F.col("chunk_text"), encoder),
+        }
+    )
+    kept = _named(_stored(spark, folder).where(F.col("bucket").isin(affected)), names, "left_anti")
+    columns = [_KEY, "chunk_no", "chunk_text", "embedding", "packed", "bucket"]
     _write(kept.select(columns).unionByName(new.select(columns)), f"{folder}/vectors", affected)
     _write(now.where(F.col("bucket").isin(affected)), f"{folder}/state", affected)
     return Refresh(*(counted.get(kind, 0) for kind in ("added", "changed", "deleted")), len(affected))
-
-
-def _schema(spark: SparkSession):
-    return spark.createDataFrame([], _STATE).schema
