@@ -19,12 +19,14 @@ no rows; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidewell.llm.common import giving_back, row_blocks, scratch, text_bytes
@@ -35,6 +37,17 @@ from tidewell.workspace import Workspace
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 
+# The parts that the vocabulary cuts a Latin-1 word of small letters into, and the
+# greatest byte that begins a Latin-1 character.
+PARTS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\t-\r \x85\xa0]+"
+)
+LATIN_LEADS = 0xC3
+
+# Text bytes tokenised at a time, unless one text is longer; parts in a line and lines
+# that the tokenizer gets at a time.
+TOKEN_BYTES, LINE_WORDS, LINES = 1 << 20, 512, 16
+
 # Words a task remembers, and their bytes; beyond either it starts anew. Nothing is kept
 # when the task ends, as the worker goes on with other stages.
 KNOWN_WORDS, KNOWN_BYTES = 900_000, 64 << 20
@@ -67,28 +80,41 @@ def _latin(text: str) -> bool:
     return True
 
 
-def _small(text: str) -> str:
-    """The text in small letters, where the vocabulary's own folding surely does the same.
+def _small(texts: pa.Array) -> pa.Array:
+    """The texts in small letters, where the vocabulary's own folding surely does the same.
 
     So it is for Latin-1 without what might be the beginning of a special token.
     """
-    return text.lower() if _latin(text) and "<|" not in text else text
+    data, bounds = text_bytes(texts)
+    kept = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+    kept[np.searchsorted(bounds, np.flatnonzero(data > LATIN_LEADS), side="right") - 1] = True
+    if kept.all():
+        return texts
+    small = pc.utf8_lower(texts)
+    return pc.if_else(pa.array(kept), texts, small) if kept.any() else small
 
 
 class WordTokens:
     """Token ids of whole texts, word by word.
 
     The vocabulary's tokens never cross white space, so the ids of a text are those
-    of its words (as cut at the four common white-space characters), and a word met
-    before need not be tokenised again.
+    of its words (as cut at ASCII white space), and a word met before need not be
+    tokenised again. Nor do they cross the parts that the vocabulary cuts words into;
+    words of Latin-1 are put together from those.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # In this vocabulary a word's last token, and no other, is marked as such.
+        # For small letters already cut into parts, with a space between.
+        self.parts = Tokenizer(self.tokenizer.model)
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
+        # In this vocabulary a part's last token, and no other, is marked as such.
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
@@ -104,75 +130,84 @@ class WordTokens:
         self.used = 0
 
     def _learn(self) -> None:
-        """Tokenise the pending words, those of plain letters many at a time.
-
-        Letters with one full stop or comma are put together from both.
-        """
-        plain: list[tuple[int, str]] = []
-        joined: list[tuple[int, int, int]] = []
-        at = 0
-        first = len(self.index) - len(self.index.pending)
-        while at < len(self.index.pending):  # parts of words may become pending
-            word = self.index.pending[at]
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                joined.append((first + at, self.index[word[:-1]], self.index[word[-1]]))
+        """Tokenise the pending words, the parts of those of Latin-1 many at a time."""
+        pending = self.index.pending
+        first = len(self.index) - len(pending)
+        whole: list[int] = []
+        others: list[int] = []
+        joined: list[int] = []
+        counts: list[int] = []
+        parts: list[int] = []
+        for number, word in enumerate(pending, first):  # parts of words become pending
+            if word.isalpha() and word.isascii() and word.islower():
+                whole.append(number)
+            elif not _latin(word) or "<|" in word:
+                others.append(number)
             else:
-                plain.append((first + at, word))
-            at += 1
-        self.bytes += sum(map(len, self.index.pending))
+                cut = PARTS.findall(word.lower())
+                if len(cut) == 1 and cut[0] == word:
+                    whole.append(number)
+                else:
+                    joined.append(number)
+                    counts.append(len(cut))
+                    parts.extend(map(self.index.__getitem__, cut))
+        self.bytes += sum(map(len, pending))
         self.index.pending = []
         while len(self.sizes) < len(self.index):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        letters, others = [], []
-        for item in plain:
-            (letters if item[1].isalpha() and _latin(item[1]) else others).append(item)
-        for at in range(0, len(letters), 512):
-            some = letters[at : at + 512]
-            line = " ".join(word for _, word in some)
-            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.int64)
+        for at in range(0, len(whole), LINE_WORDS * LINES):
+            some = whole[at : at + LINE_WORDS * LINES]
+            lines = [
+                " ".join([pending[number - first] for number in some[i : i + LINE_WORDS]])
+                for i in range(0, len(some), LINE_WORDS)
+            ]
+            coded = self.parts.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.concatenate([np.array(encoding.ids, np.int64) for encoding in coded])
             last = np.flatnonzero(self.ends[ids]) + 1
             assert len(last) == len(some) and last[-1] == len(ids)
-            numbers = np.array([number for number, _ in some])
-            begins = np.concatenate([[0], last[:-1]])
-            base = self.used
-            self._store(numbers[0], ids)
-            self.starts[numbers], self.sizes[numbers] = base + begins, last - begins
+            self._store(some, ids, last)
         for at in range(0, len(others), 4096):
             some = others[at : at + 4096]
-            words = [word for _, word in some]
+            words = [pending[number - first] for number in some]
             coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            for (number, _), encoding in zip(some, coded):
-                self._store(number, encoding.ids)
-        for number, *parts in joined:
-            ids = [self.flat[self.starts[p] : self.starts[p] + self.sizes[p]] for p in parts]
-            self._store(number, np.concatenate(ids))
-
-    def _store(self, number: int, ids: list[int] | np.ndarray) -> None:
+            rows = [encoding.ids for encoding in coded]
+            ids = np.array([number for row in rows for number in row], np.int64)
+            self._store(some, ids, np.cumsum([len(row) for row in rows]))
+        if joined:
+            ids, ends = self._of(np.array(parts, np.int64))
+            self._store(joined, ids, np.append(0, ends)[np.cumsum(counts)])
+
+    def _store(self, numbers: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids of some words, that stand one after the other."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[number], self.sizes[number] = self.used, len(ids)
+        begins = np.append(0, ends[:-1])
+        self.starts[numbers], self.sizes[numbers] = self.used + begins, ends - begins
         self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, without the closing token."""
+    def _of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered words, one after the other, and where each word's end."""
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.starts[which] - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        return self.flat[place], ends
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without the closing token; a null counts as empty."""
         if len(self.index) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
             self.forget()
-        number = self.index.__getitem__
-        rows = []
-        for text in texts:
-            words = _small(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            rows.append(np.fromiter(map(number, words), np.int64, len(words)))
+        rows = pc.ascii_split_whitespace(_small(texts.fill_null("")))
+        words = rows.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False)  # faster than a list
+        numbers = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
         if self.index.pending:
             self._learn()
-        which = np.concatenate(rows)
-        sizes = self.sizes[which]
-        ends = np.cumsum(sizes)
-        place = np.repeat(self.starts[which] - (ends - sizes), sizes)
-        ids = self.flat[place + np.arange(len(place))]
-        cuts = ends[np.cumsum([len(row) for row in rows]) - 1]
-        return np.split(ids, cuts[:-1])
+        ids, ends = self._of(numbers[words.indices.to_numpy()])
+        cuts = np.cumsum(pc.list_value_length(rows).to_numpy())
+        return np.split(ids, np.append(0, ends)[cuts[:-1]])
 
 
 def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -194,8 +229,8 @@ def token_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
             for batch in batches:
                 keys = batch.column(0).to_pylist()
                 _, bounds = text_bytes(batch.column(1))
-                for first, last in row_blocks(bounds):
-                    texts = batch.column(1).slice(first, last - first).to_pylist()
+                for first, last in row_blocks(bounds, TOKEN_BYTES):
+                    texts = batch.column(1).slice(first, last - first)
                     rows = []
                     for key, ids in zip(keys[first:last], known.encode(texts)):
                         ids = np.append(ids, np.uint32(END)).astype("<u4")
