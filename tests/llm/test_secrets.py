@@ -5,6 +5,7 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,36 @@ def test_controls_come_from_every_document(spark):
         dealt = Counter(word for r in rows for word in r["words"])
         assert dealt.keys() == want.keys()
         assert most < 1 << 18 or dealt == want
+
+
+@pytest.mark.parametrize("common", [0, 1, 40])
+def test_large_prose_is_dealt_whole(spark, common):
+    """More words than are dealt one by one: each as often as it is counted, in groups of like size."""
+    rng = random.Random(23)
+    want = {f"rare{i}": rng.randint(1, 40) for i in range(0 if common == 1 else 5000)}
+    want |= {f"common{i}": 300_000 // common + i for i in range(common)}
+    want |= {f"more{i}": 400 for i in range(0 if common else 1000)}
+    assert sum(want.values()) > max(secrets.PROSE_WORDS, 2 * len(want))
+    counts = spark.createDataFrame(list(want.items()), "word string, n long")
+    groups, n = secrets.word_groups(counts)
+    rows = groups.collect()
+    assert {r["group"] for r in rows} == set(range(n)) and len(rows) == n
+    assert max(len(r["words"]) for r in rows) < 1.1 * secrets.GROUP_WORDS
+    assert Counter(word for r in rows for word in r["words"]) == want
+    if common == 40:
+        # Words come mixed: no tenth of a group is of one word.
+        for words in (r["words"] for r in rows):
+            tenth = Counter(words[: len(words) // 10])
+            assert max(tenth.values()) < 0.1 * tenth.total()
+
+
+def test_windows_are_tested_as_their_rows_are():
+    rng = random.Random(29)
+    for alphabet in secrets.EVERY:
+        text = "".join(rng.choice(alphabet[: rng.choice((1, 3, 99))]) for _ in range(70_000))
+        windows = secrets.Windows(text, alphabet)
+        for n in (20, 33, 640):
+            at = np.array([0, *rng.sample(range(len(text) - n), 200), len(text) - n])
+            rows = [r for r in (text[a : a + n] for a in at) if not (r.isalpha() or r.isdigit())]
+            want = [secrets.randomness(secrets.coded(r, alphabet)[None], alphabet)[0] for r in rows]
+            np.testing.assert_allclose(windows.randomness(at, n), want, rtol=1e-9, atol=1e-300)
