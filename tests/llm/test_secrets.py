@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewell.llm import secrets
 from tidewell.llm.secrets import fit_thresholds, scan_secrets
 
@@ -132,3 +133,17 @@ def test_windows_are_tested_as_their_rows_are():
             rows = [r for r in (text[a : a + n] for a in at) if not (r.isalpha() or r.isdigit())]
             want = [secrets.randomness(secrets.coded(r, alphabet)[None], alphabet)[0] for r in rows]
             np.testing.assert_allclose(windows.randomness(at, n), want, rtol=1e-9, atol=1e-300)
+
+
+def test_the_pipelines_stage_learns_from_all_words(spark, monkeypatch):
+    """The controls of its secrets stage hold the words of a large corpus as often as they stand."""
+    rng = random.Random(31)
+    text, secret = prose(rng, 10_000), key(rng, 48)
+    docs = spark.createDataFrame([(i, text) for i in range(60)] + [(60, f"x {secret} y")], "doc_id long, text string")
+    known, count = [], secrets.control_counts
+    monkeypatch.setattr(secrets, "control_counts", lambda *given: known.extend(count(*given)) or known)
+    clean = corpus_pipeline.redact_secrets(spark, docs, "").collect()
+    assert {r["doc_id"]: r["text"] for r in clean} == dict.fromkeys(range(60), text) | {60: "x [SECRET] y"}
+    (size,) = {size for size, _, _ in known}
+    symbols = sum(n for _, _, n in known) * secrets.LEAST_LENGTHS[size // len(secrets.EVERY)]
+    assert symbols > 0.95 * 60 * sum(c.isalpha() for c in text)
